@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import encoding, leakage, pii, setjoin, terms, tokens, vectors
+from ..scratch import materialise
+from . import encoding, leakage, mixture, pii, setjoin, terms, tokens, vectors
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -47,6 +48,16 @@ def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return setjoin.similar_row_clusters(_read(spark, sf_dir, "clust2_csv")).select(F.col("first_id").alias("first_row_id"), F.col("id").alias("row_id"))
 
 
+def p5_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster and density of every row, by the Gaussian mixture."""
+    return mixture.mixture_clusters(_read(spark, sf_dir, "clust2_csv"))
+
+
+def p5_described(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Size and most typical rows of the mixture's clusters."""
+    return mixture.describe(materialise(p5_mixture(spark, sf_dir)))
+
+
 def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(_read(spark, sf_dir, "documents"))
 
@@ -84,7 +95,7 @@ def p8_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit() and callable(f)}
+    return {k: f for k, f in globals().items() if k[:1] == "p" and k[1:2].isdigit()}
 
 
 _TERMS = r"""
