@@ -113,7 +113,7 @@ WITH words AS (
 
 _CLUSTERS = r"""
 WITH RECURSIVE words AS (
-  SELECT row_id, list_distinct(list_filter(regexp_extract_all(lower(col1), '[а-яёa-z0-9]+'), x -> length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))) AS w FROM clust2_csv
+  SELECT row_id, list_distinct(list_filter(regexp_extract_all(lower(col1), '[а-яёa-z0-9]+'), lambda x: length(x) >= 4 AND NOT regexp_full_match(x, '[0-9]+'))) AS w FROM clust2_csv
 ), kept AS (SELECT row_id, list_sort(w) AS w FROM words WHERE len(w) >= 8),
 classes AS (SELECT w, min(row_id) AS cid, len(w) AS n FROM kept GROUP BY w),
 flat AS (SELECT cid, n, unnest(w) AS x FROM classes),
