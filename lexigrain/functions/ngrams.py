@@ -1,7 +1,7 @@
 """N-gram expressions: arrays of words or characters to arrays of grams.
 
-Characters are split once and grams are joined from neighbours; cutting
-substrings out of a long text for every gram would be quadratic.
+Characters are split and grams are joined from neighbours; cutting substrings
+out of a long text for every gram would be quadratic.
 """
 
 from __future__ import annotations
@@ -13,13 +13,19 @@ _EMPTY = "array<string>"
 
 
 def _grams(items: Column, n: int, sep: str) -> Column:
-    """The grams of exactly ``n`` items; ``n`` = 0 gives one empty gram more than there are items."""
+    """The grams of exactly ``n`` items; ``n`` = 0 gives one empty gram more than there are items.
+
+    Built by zipping the grams one shorter with the items further on.  No lambda
+    refers to an array from outside: such an expression would be computed again
+    for every element.
+    """
     if n == 0:
         return F.array_repeat(F.lit(""), F.size(items) + 1)
-    if n == 1:
-        return items
-    first = F.slice(items, 1, F.greatest(F.size(items) - (n - 1), F.lit(0)))
-    return F.transform(first, lambda x, i: F.concat_ws(sep, x, *[F.get(items, i + k) for k in range(1, n)]))
+    grams = items
+    for k in range(2, n + 1):
+        longer = F.zip_with(grams, F.slice(items, k, 1 << 30), lambda g, x: F.concat(g, F.lit(sep), x))
+        grams = F.filter(longer, lambda g: g.isNotNull())
+    return grams
 
 
 def word_ngrams(tokens: Column, n_min: int = 1, n_max: int = 2, sep: str = " ", prefix: str = "") -> Column:
