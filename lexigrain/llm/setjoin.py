@@ -199,6 +199,6 @@ def similar_row_clusters(
     roots = component_roots(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
     rows = keyed_rows(df, id_col, text_col, min_chars, min_words, False)
     members = rows.join(classes.select("key", "cid"), "key").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
-    members = members.select(F.col("id").cast("bigint").alias("id"), F.coalesce("root", "cid").alias("root")).distinct()
+    members = materialise(members.select(F.col("id").cast("bigint").alias("id"), F.coalesce("root", "cid").alias("root")).distinct())  # read twice below
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_rows)
     return members.join(sizes, "root").where("id <> first_id").select("first_id", "id")
