@@ -34,7 +34,7 @@ def test_nested_and_lossy():
     once = TEXT.encode().decode("latin-1")
     (got,) = encoding.repair_batch(MODEL, [once.encode().decode("latin-1")])
     assert got[0] == TEXT and ">" in got[2][0]
-    lossy = TEXT.encode().decode("cp1251", "replace")
+    lossy = ("Именно. " + TEXT).encode().decode("cp1251", "replace")
     (got,) = encoding.repair_batch(MODEL, [lossy])
     assert got and not got[1] and "�" in got[0]
 
