@@ -61,7 +61,7 @@ def test_least_cost_is_least():
 def test_long_records_take_linear_work():
     raw = '"' + "я" * 2_000_000 + '"x,' + "," * 2000
     ok, reason, cost, _, _ = R.parse_record(raw)
-    assert not ok and cost == 2000 and reason.startswith("quoting")
+    assert not ok and 0 < cost <= 3 and reason.startswith("quoting")
 
 
 def test_table(spark):
