@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +32,14 @@ def split_hot(rows: DataFrame, hot: DataFrame, key: str, id_col: str) -> DataFra
     return with_chunk.withColumn("c1", F.least("chunk", "_o").cast("int")).withColumn("c2", F.greatest("chunk", "_o").cast("int")).drop("_o", "chunks")
 
 
-def by_cell(keys: int, work: Callable[[pa.Table], pa.RecordBatch | None]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """A mapInArrow function that calls ``work`` with all rows of each cell.
+def by_cell(
+    keys: int, work: Callable[[pa.Table], pa.RecordBatch | None], bulk: Callable[[pa.Table, np.ndarray], pa.RecordBatch | None] | None = None, small: int = 64
+) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """A mapInArrow function that calls ``work`` with all rows of each cell of two rows or more.
 
     Its input is sorted by the first ``keys`` columns, which name the cell.
+    Cells of up to ``small`` rows go to ``bulk``, if given, many at a time, with
+    the number of its cell for each row.
     """
 
     def flush(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -44,9 +49,7 @@ def by_cell(keys: int, work: Callable[[pa.Table], pa.RecordBatch | None]) -> Cal
                 yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import numpy as np
-
-        held: list[pa.RecordBatch] = []
+        held: list[pa.RecordBatch] = []  # the open cell, which the next batch may continue
         last = None
         for b in batches:
             if not b.num_rows:
@@ -55,15 +58,28 @@ def by_cell(keys: int, work: Callable[[pa.Table], pa.RecordBatch | None]) -> Cal
             new = np.zeros(b.num_rows, bool)
             for c in cols:
                 new[1:] |= c[1:] != c[:-1]
-            starts = [0, *np.flatnonzero(new), b.num_rows]
-            for a, z in zip(starts, starts[1:]):
-                if a == z:
-                    continue
-                name = tuple(c[a] for c in cols)
-                if name != last:
-                    yield from flush(held)
-                    held, last = [], name
-                held.append(b.slice(a, z - a))
+            starts = np.append(np.append(0, np.flatnonzero(new)), b.num_rows)
+            first = 0
+            if tuple(c[0] for c in cols) == last:
+                held.append(b.slice(0, int(starts[1])))
+                first = 1
+            if first == len(starts) - 1:
+                continue  # all of the batch belongs to the open cell
+            yield from flush(held)
+            sizes = np.diff(starts)
+            complete = np.arange(first, len(sizes) - 1)
+            if bulk is not None:
+                many = complete[(sizes[complete] > 1) & (sizes[complete] <= small)]
+                if len(many):
+                    cell = np.repeat(np.arange(len(many)), sizes[many])
+                    rows = np.arange(len(cell)) - np.repeat(np.cumsum(sizes[many]) - sizes[many], sizes[many]) + np.repeat(starts[many], sizes[many])
+                    out = bulk(pa.Table.from_batches([b]).take(pa.array(rows)), cell)
+                    if out is not None and out.num_rows:
+                        yield out
+                complete = complete[sizes[complete] > small]
+            for k in complete:
+                yield from flush([b.slice(int(starts[k]), int(sizes[k]))])
+            held, last = [b.slice(int(starts[-2]), int(sizes[-1]))], tuple(c[-1] for c in cols)
         yield from flush(held)
 
     return run

@@ -151,6 +151,29 @@ def _cell_work(t: float):
     return work
 
 
+def _bulk_work(t: float):
+    def work(c: pa.Table, cell: np.ndarray) -> pa.RecordBatch | None:
+        cid, size, chunk = c.column("cid").to_numpy(), c.column("size").to_numpy().astype(np.int64), c.column("chunk").to_numpy()
+        halves = c.column("c1").to_numpy() != c.column("c2").to_numpy()
+        raw = np.frombuffer(b"".join(c.column("bits").to_pylist()), np.uint64).reshape(-1, 2)
+        found = []
+        for d in range(1, len(cid)):  # every row with the one d places on, while any two share a cell
+            i = np.flatnonzero(cell[d:] == cell[:-d])
+            if not len(i):
+                break
+            j = i + d
+            total = size[i] + size[j]
+            differ = np.bitwise_count(raw[i] ^ raw[j]).sum(1)
+            ok = (differ <= total - 2 * needed_overlap(total, 0, t)) & ~(halves[i] & (chunk[i] == chunk[j])) & (cid[i] != cid[j])
+            found.append((cid[i[ok]], cid[j[ok]]))
+        if not found:
+            return None
+        a, b = (np.concatenate(x) for x in zip(*found))
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+
+    return work
+
+
 def similar_classes(classes: DataFrame, t: float = SIMILARITY, hot_df: int = HOT_DF, cell_cap: int = CELL_CAP) -> DataFrame:
     """``a, b`` with a < b: all pairs of classes with a Jaccard similarity of at least ``t``.  ``classes`` holds ``cid, words``."""
     df = frequency_sketch(classes)
@@ -172,7 +195,7 @@ def similar_classes(classes: DataFrame, t: float = SIMILARITY, hot_df: int = HOT
     rows = classes.select("cid", "words").mapInArrow(emit, schema)
     hot = materialise(hot_cells(rows.select("sig"), "sig", cell_cap))
     cells = split_hot(rows, hot, "sig", "cid").select("sig", "c1", "c2", "cid", "size", "bits", "chunk")
-    candidates = cells.repartition("sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2").mapInArrow(by_cell(3, _cell_work(t)), "a bigint, b bigint").distinct()
+    candidates = cells.repartition("sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2").mapInArrow(by_cell(3, _cell_work(t), _bulk_work(t)), "a bigint, b bigint").distinct()
     left = candidates.join(classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a")
     both = left.join(classes.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
