@@ -11,7 +11,7 @@ from .functions import ngrams as N
 from .functions import text as X
 from .operators import agglomerative, classify, graph, leader, metrics, minibatch, packed, records, report, similarity, spherical, tfidf
 from .plans import pipelines
-from .scratch import materialise, shared_dir
+from .scratch import materialise, new_path
 from .sources import corpora, csvfiles
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -648,7 +648,7 @@ def _sql_trim(c: str) -> str:
 def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ticket rows written as CSV with a cluster and loaded again; the cluster column is the fourth and not read."""
     rows = read(spark, sf_dir, "clust2_csv").select("row_id", "col1", "col2", "col3")
-    path = f"{shared_dir(spark)}/lexigrain-csv-{abs(hash(sf_dir))}"
+    path = new_path(spark)
     csvfiles.save_clustered(rows, rows.select("row_id", F.lit(-1).alias("cluster_id")), path)
     return csvfiles.load_csv(spark, path).select("col1", "col2", "col3", F.lit(-1).alias("cluster_id"))
 

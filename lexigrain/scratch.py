@@ -29,15 +29,21 @@ def shared_dir(spark: SparkSession) -> str:
     return _own[app]
 
 
+def new_path(spark: SparkSession) -> str:
+    """A fresh path in the shared folder, deleted when the program ends."""
+    path = f"{shared_dir(spark)}/lexigrain-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` once and read it back, so later stages do not recompute it.
 
     A lost executor costs only the tasks it ran: the table is on shared storage.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/lexigrain-{uuid.uuid4().hex}"
+    path = new_path(spark)
     df.write.option("compression", "zstd").parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
