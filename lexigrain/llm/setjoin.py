@@ -123,21 +123,28 @@ def _bitmap(words: np.ndarray) -> bytes:
     return np.packbits(bits).tobytes()
 
 
+def _most_different(largest: int, t: float) -> np.ndarray:
+    """By the summed size of two sets, the most bits their maps may differ in if the sets are similar."""
+    total = np.arange(largest + 1)
+    return np.minimum(total - 2 * needed_overlap(total, 0, t), 255).astype(np.uint8)
+
+
 def _cell_work(t: float):
     def work(c: pa.Table) -> pa.RecordBatch | None:
-        cid, size, chunk = c.column("cid").to_numpy(), c.column("size").to_numpy().astype(np.int64), c.column("chunk").to_numpy()
+        cid, size, chunk = c.column("cid").to_numpy(), np.minimum(c.column("size").to_numpy(), 1 << 13).astype(np.int16), c.column("chunk").to_numpy()
         halves = c.column("c1")[0] != c.column("c2")[0]
         order = np.lexsort((cid, size))
         cid, size, chunk = cid[order], size[order], chunk[order]
         raw = np.frombuffer(b"".join(c.column("bits").to_pylist()), np.uint64).reshape(-1, 2)[order]
         found = []
+        limit = _most_different(int(2 * size.max(initial=0)), t)
         for lo in range(0, len(cid), ROW_BLOCK):
             hi = min(len(cid), lo + ROW_BLOCK)
             last = int(np.searchsorted(size, size[hi - 1] / t + 1e-9, side="right"))
-            differ = np.bitwise_count(raw[lo:hi, None, 0] ^ raw[None, lo:last, 0]).astype(np.int16) + np.bitwise_count(raw[lo:hi, None, 1] ^ raw[None, lo:last, 1])
-            total = size[lo:hi, None] + size[None, lo:last]
-            ok = differ <= total - 2 * needed_overlap(total, 0, t)
-            ok &= np.arange(lo, hi)[:, None] < np.arange(lo, last)[None, :]
+            differ = np.bitwise_count(raw[lo:hi, None, 0] ^ raw[None, lo:last, 0])
+            differ += np.bitwise_count(raw[lo:hi, None, 1] ^ raw[None, lo:last, 1])
+            ok = differ <= limit[size[lo:hi, None] + size[None, lo:last]]
+            ok[:, : hi - lo] &= np.arange(hi - lo)[:, None] < np.arange(hi - lo)[None, :]
             if halves:
                 ok &= chunk[lo:hi, None] != chunk[None, lo:last]
             i, j = np.nonzero(ok)
