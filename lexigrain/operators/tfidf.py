@@ -11,13 +11,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import by_id
+
 #: Beyond this many rows a vocabulary is joined by shuffle; up to it, it is small enough to broadcast.
 BROADCAST_VOCABULARY = 200_000
 
 
 def exploded(df: DataFrame, id_col: str, grams: Column, feature: str = "feature") -> DataFrame:
     """``id, feature``: one row for each gram.  Rows with a null id are left out."""
-    return df.where(F.col(id_col).isNotNull()).select(id_col, F.explode(grams).alias(feature))
+    return by_id(df.where(F.col(id_col).isNotNull()), id_col).select(id_col, F.explode(grams).alias(feature))
 
 
 def bag(df: DataFrame, id_col: str, grams: Column) -> DataFrame:
@@ -27,11 +29,13 @@ def bag(df: DataFrame, id_col: str, grams: Column) -> DataFrame:
 
 def weighted_bag(df: DataFrame, id_col: str, parts: list[tuple[Column, float]]) -> DataFrame:
     """As :func:`bag`, each occurrence counting with the weight of its part."""
-    rows = [exploded(df, id_col, g).withColumn("x", F.lit(float(w))) for g, w in parts]
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out.groupBy(id_col, "feature").agg(F.sum("x").alias("tf"))
+
+    def with_weight(grams: Column, w: float) -> Column:
+        return F.transform(grams, lambda x: F.struct(x.alias("feature"), F.lit(float(w)).alias("x")))
+
+    weighted = F.concat(*[with_weight(g, w) for g, w in parts])
+    rows = by_id(df.where(F.col(id_col).isNotNull()), id_col).select(id_col, F.explode(weighted).alias("g")).select(id_col, "g.feature", "g.x")
+    return rows.groupBy(id_col, "feature").agg(F.sum("x").alias("tf"))
 
 
 def document_frequency(bags: DataFrame) -> DataFrame:

@@ -47,6 +47,18 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def by_id(df: DataFrame, id_col: str) -> DataFrame:
+    """``df`` hash-partitioned by its id.
+
+    Moves each text once; whatever is then grouped by the id and something made
+    from its row (grams, say) needs no further shuffle, and a small file that is
+    one split still keeps all cores busy.
+    """
+    spark = df.sparkSession
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    return df.repartition(n, id_col)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the table behind a DataFrame that came from :func:`materialise`."""
     for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
