@@ -22,7 +22,8 @@ from pyspark.sql import types as T
 
 from ..scratch import materialise
 
-BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 128, 16, (8, 12, 16, 24), 15, 1e-2, 1e-4, 5, 18
+BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 256, 16, (8, 12, 16, 24), 15, 1e-2, 1e-4, 5, 18
+MIN_SHARE = 0.003  #: words in a smaller share of the rows say little about groups and weigh 0
 INIT_ROWS = 2000  #: rows, least by hash of their id, that the starting means are chosen from
 NOT_TERM = "[^а-яёa-z0-9]+"
 
@@ -85,7 +86,8 @@ def reduced_features(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS
                 total += np.bincount(bucket, minlength=len(total))
         yield _emit(total)
 
-    idf = np.log((n + 1) / (_sum_pairs(text, count, 1 << SKETCH_BITS) + 1)) + 1
+    df_sketch = _sum_pairs(text, count, 1 << SKETCH_BITS)
+    idf = np.where(df_sketch >= MIN_SHARE * n, np.log((n + 1) / (df_sketch + 1)) + 1, 0.0)
     size = BAG_DIMS * BAG_DIMS + BAG_DIMS + 1
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
