@@ -87,8 +87,6 @@ def _given_names() -> dict[str, str]:
 
 GIVEN = _given_names()
 _GIVEN_SET = frozenset(GIVEN)
-# Words that are names only by chance: everyday words and single particles.
-AMBIGUOUS = frozenset("вера надежда любовь роза лев марк ия ада август роман rose mark grace ivy may iris jack miles violet olive robin ян ника ася ида лука dana".split())
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
 _SAME_LENGTH = (
@@ -215,9 +213,6 @@ def _is_phone(s: str, m_text: str, digits: str, before: str) -> bool:
     return False
 
 
-_TAKE_PHONE = re.compile(r"(?:\+?[78][ .\-]{0,2})?\(?\d{3,5}\)?[ .\-]{0,2}\d{2,4}(?:[ .\-]?\d{2,4}){1,2}")
-
-
 def _numbers(s: str, low: str) -> Iterator[tuple[str, int, int, str]]:
     taken = Spans()
     free = taken.free
@@ -255,7 +250,6 @@ def _numbers(s: str, low: str) -> Iterator[tuple[str, int, int, str]]:
         if free(*m.span()) and not (m.start() and s[m.start() - 1].isalnum()):
             taken.add(*m.span())
             yield "id_number", *m.span(), re.sub(r"\W", "", m.group().upper())
-    # "4510 123456" and "45 10 № 123456" beside a word such as "серия" further away
     for m in _NUMBER.finditer(s):
         a, b = m.span()
         if a and (s[a - 1].isalnum() or s[a - 1] == "_" or s[a - 1] == "." and s[a - 2 : a - 1].isdigit()):
@@ -338,7 +332,6 @@ def _addresses(s: str, low: str) -> Iterator[tuple[int, int, str]]:
 # --- names ----------------------------------------------------------------------
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
 _SURNAME_RU = re.compile(r"(?:[оеё]в|[иы]н|[сц]к(?:ий|ой)|ич|[уюя]к|енко|ко|ян|дзе|швили|ых|их|юк|[аяе]ц|ой|ый)(?:а|у|ым|ом|е|ой|ая|ую|ого|ому|ем|я|ю|ы)?\Z|(?:[сц]кая|[сц]кой)\Z")
-_INITIALS = r"(?:[А-ЯЁA-Z]\.\s?){1,2}"
 _INITIAL_PAIR = re.compile(r"[А-ЯЁA-Z]\.\s?[А-ЯЁA-Z]\.")
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w'\-]+)[ ,]{1,2}\Z")
 _WORD_AFTER = re.compile(r"\s?([А-ЯЁA-Z][\w'\-]+)")
