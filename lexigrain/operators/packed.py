@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MAX_MATRIX = 64_000_000  #: numbers in a matrix of centroids
-PACKED = "idx array<int>, val array<double>"
 
 
 def pack(vectors: DataFrame, documents: DataFrame, id_col: str = "doc_id", key: str = "feature_id", w: str = "w") -> DataFrame:

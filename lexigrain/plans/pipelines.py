@@ -15,7 +15,7 @@ from ..operators.metrics import report, stratified_split, summary
 from ..operators.minibatch import minibatch_kmeans
 from ..operators.packed import pack
 from ..operators.similarity import sparse_pairs, top_neighbors
-from ..operators.tfidf import bag, document_frequency, exploded, frequent_words, pruned_tfidf, tfidf, vocabulary, weighted_bag
+from ..operators.tfidf import bag, document_frequency, frequent_words, pruned_tfidf, tfidf, vocabulary, weighted_bag
 from ..scratch import materialise
 from ..sources.csvfiles import joined_text, load_csv, save_clustered
 
