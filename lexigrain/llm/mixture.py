@@ -4,8 +4,9 @@ Texts become hashed, frequency-weighted bags of words; the covariance over all
 rows gives principal components, which are standardised.  Expectation-
 maximisation fits full covariances with a ridge; every iteration is one pass
 over all rows that sums sufficient statistics, for all candidate numbers of
-components at once.  The Bayesian information criterion chooses; the members of
-highest density represent a cluster.
+components at once, until the likelihood settles.  The Bayesian information
+criterion chooses; while its choice is the largest number tried, larger ones are
+tried.  The members of highest density represent a cluster.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..scratch import materialise
 
-BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 256, 16, (8, 12, 16, 24), 15, 1e-2, 1e-4, 5, 18
+BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 256, 16, (8, 12, 16, 24), 2000, 1e-2, 1e-4, 5, 18
 MIN_SHARE = 0.003  #: words in a smaller share of the rows say little about groups and weigh 0
 INIT_ROWS = 2000  #: rows, least by hash of their id, that the starting means are chosen from
 NOT_TERM = "[^а-яёa-z0-9]+"
@@ -115,6 +116,12 @@ def reduced_features(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS
     return text.mapInArrow(reduce, schema)
 
 
+def _monomials(x: np.ndarray) -> np.ndarray:
+    """1, the coordinates and their products: log densities and sufficient statistics are linear in these."""
+    i, j = np.triu_indices(x.shape[1])
+    return np.concatenate([np.ones((len(x), 1)), x, x[:, i] * x[:, j]], 1)
+
+
 class Mixture:
     """Weights, means and covariances of ``k`` components."""
 
@@ -123,12 +130,18 @@ class Mixture:
         self.inverse = np.linalg.inv(np.linalg.cholesky(covariances))
         self.log_scale = np.log(np.maximum(weights, 1e-300)) + np.log(np.abs(np.diagonal(self.inverse, axis1=1, axis2=2))).sum(1) - means.shape[1] / 2 * np.log(2 * np.pi)
 
+        d = means.shape[1]
+        precision = self.inverse.transpose(0, 2, 1) @ self.inverse
+        pull = np.einsum("kij,kj->ki", precision, means)
+        upper = np.triu_indices(d)
+        square = np.where(upper[0] == upper[1], -0.5, -1.0) * precision[:, upper[0], upper[1]]
+        self.coefficients = np.concatenate([(self.log_scale - 0.5 * (means * pull).sum(1))[:, None], pull, square], 1)
+
     def log_joint(self, x: np.ndarray) -> np.ndarray:
-        out = np.empty((len(x), len(self.means)))
-        for i, (m, w) in enumerate(zip(self.means, self.inverse)):
-            z = (x - m) @ w.T
-            out[:, i] = self.log_scale[i] - 0.5 * (z * z).sum(1)
-        return out
+        return self.log_joint_of(_monomials(x))
+
+    def log_joint_of(self, monomials: np.ndarray) -> np.ndarray:
+        return monomials @ self.coefficients.T
 
     @property
     def parameters(self) -> int:
@@ -153,18 +166,11 @@ def _start(sample: np.ndarray, k: int) -> Mixture:
     return Mixture(np.full(k, 1 / k), np.array(chosen), np.repeat(np.eye(d)[None], k, 0))
 
 
-def fit(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int = DIMS, iterations: int = ITERATIONS, ridge: float = RIDGE) -> Mixture | None:
-    """The mixture of least information criterion; None where there are no rows.
-
-    ``features`` holds ``id, x`` and is read once an iteration.  Numbers of
-    components above half the rows are left out (1 remains for tiny tables).
-    """
-    n = features.count()
-    if not n:
-        return None
-    sample = np.array([r["x"] for r in features.orderBy(F.xxhash64("id"), "id").limit(INIT_ROWS).collect()], float)
-    models = {k: _start(sample, k) for k in sorted(set(components)) if 2 * k <= n and k <= len(sample)} or {1: _start(sample, 1)}
-    width = 1 + dims + dims * dims
+def _converge(features: DataFrame, n: int, models: dict[int, Mixture], dims: int, iterations: int, ridge: float) -> dict[int, tuple[float, Mixture]]:
+    """k -> (mean log-likelihood, mixture), each iterated until a pass raises it by less than the tolerance."""
+    upper = np.triu_indices(dims)
+    width = 1 + dims + len(upper[0])
+    done: dict[int, tuple[float, Mixture]] = {}
     likelihood: dict[int, float] = {}
     moving = dict(models)
     for _ in range(iterations):
@@ -173,13 +179,11 @@ def fit(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int =
         def step(batches: Iterator[pa.RecordBatch], moving=dict(moving), offsets=offsets) -> Iterator[pa.RecordBatch]:
             total = np.zeros(offsets[-1])
             for b in batches:
-                x = b.column(0).flatten().to_numpy().astype(float).reshape(-1, dims)
+                x = _monomials(b.column(0).flatten().to_numpy().astype(float).reshape(-1, dims))
                 for (k, model), at in zip(moving.items(), offsets):
-                    joint = model.log_joint(x)
+                    joint = model.log_joint_of(x)
                     ll = _logsumexp(joint)
-                    r = np.exp(joint - ll[:, None])
-                    second = np.stack([(x * r[:, i : i + 1]).T @ x for i in range(k)]).reshape(k, -1)
-                    total[at : at + k * width] += np.concatenate([r.sum(0)[:, None], r.T @ x, second], 1).ravel()
+                    total[at : at + k * width] += (np.exp(joint - ll[:, None]).T @ x).ravel()
                     total[at + k * width] += ll.sum()
             yield _emit(total)
 
@@ -187,24 +191,58 @@ def fit(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int =
         still = {}
         for (k, model), at in zip(moving.items(), offsets):
             s, ll = sums[at : at + k * width].reshape(k, width), float(sums[at + k * width]) / n
+            if k in likelihood and ll - likelihood[k] < TOLERANCE:
+                done[k] = ll, model
+                continue
             mass = np.maximum(s[:, 0], 1e-9)
             means = s[:, 1 : 1 + dims] / mass[:, None]
-            cov = s[:, 1 + dims :].reshape(k, dims, dims) / mass[:, None, None] - np.einsum("ki,kj->kij", means, means)
+            second = np.zeros((k, dims, dims))
+            second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = s[:, 1 + dims :] / mass[:, None]
+            cov = second - np.einsum("ki,kj->kij", means, means)
             empty = s[:, 0] < 1e-6
             means[empty], cov[empty] = model.means[empty], model.covariances[empty]
-            cov = (cov + cov.transpose(0, 2, 1)) / 2 + ridge * np.eye(dims)
-            if np.linalg.eigvalsh(cov).min() < ridge / 2:
-                low = np.linalg.eigvalsh(cov).min(1)
+            cov += ridge * np.eye(dims)
+            low = np.linalg.eigvalsh(cov).min(1)
+            if low.min() < ridge / 2:
                 cov += np.maximum(0, ridge - low)[:, None, None] * np.eye(dims)
-            if k in likelihood and ll - likelihood[k] < TOLERANCE:
-                likelihood[k] = max(ll, likelihood[k])
-                continue
             likelihood[k] = ll
-            models[k] = still[k] = Mixture(s[:, 0] / n, means, cov)
+            still[k] = Mixture(s[:, 0] / n, means, cov)
         moving = still
         if not moving:
-            break
-    return models[min(models, key=lambda k: (-2 * n * likelihood[k] + models[k].parameters * np.log(n), k))]
+            return done
+    raise RuntimeError(f"mixtures of {sorted(moving)} components have not settled after {iterations} iterations")
+
+
+def fits(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int = DIMS, iterations: int = ITERATIONS, ridge: float = RIDGE) -> dict[int, tuple[float, Mixture]]:
+    """k -> (information criterion, settled mixture) for every number of components tried.
+
+    ``features`` holds ``id, x`` and is read once an iteration.  Numbers above
+    half the rows are left out (1 remains for tiny tables).  While the least
+    criterion is that of the largest number, a third more and twice as many are
+    tried; no number but half the rows ends this.
+    """
+    n = features.count()
+    out: dict[int, tuple[float, Mixture]] = {}
+    following = [k for k in sorted(set(components)) if 2 * k <= n] or [1] * min(n, 1)
+    while following:
+        rows = features.orderBy(F.xxhash64("id"), "id").limit(max(INIT_ROWS, 8 * following[-1])).collect()
+        sample = np.array([r["x"] for r in rows], float)
+        for k, (ll, model) in _converge(features, n, {k: _start(sample, k) for k in following}, dims, iterations, ridge).items():
+            out[k] = -2 * n * ll + model.parameters * np.log(n), model
+        top = max(out)
+        following = [k for k in (top * 4 // 3, top * 2) if 2 * k <= n and k > top] if best_of(out) == top else []
+    return out
+
+
+def best_of(tried: dict[int, tuple[float, Mixture]]) -> int:
+    """The number of components of least criterion; ties go to the smaller."""
+    return min(tried, key=lambda k: (tried[k][0], k))
+
+
+def fit(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int = DIMS, iterations: int = ITERATIONS, ridge: float = RIDGE) -> Mixture | None:
+    """The mixture of least information criterion; None where there are no rows."""
+    tried = fits(features, components, dims, iterations, ridge)
+    return tried[best_of(tried)][1] if tried else None
 
 
 def assign(features: DataFrame, model: Mixture, dims: int = DIMS) -> DataFrame:

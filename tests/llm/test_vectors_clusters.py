@@ -138,3 +138,18 @@ def test_log_density_by_hand():
     c = m.covariances[0]
     want = -0.5 * (x[0] @ np.linalg.inv(c) @ x[0]) - 0.5 * np.log(np.linalg.det(c)) - np.log(2 * np.pi)
     assert np.allclose(m.log_joint(x)[0, 0], want)
+
+
+def test_mixture_tries_more_components_until_the_criterion_rises(spark):
+    rng = np.random.default_rng(5)
+    centres = rng.normal(size=(12, 3)) * 20
+    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=3)]) for i in range(1200)]
+    features = spark.createDataFrame(rows, "id bigint, x array<float>")
+    tried = mixture.fits(features, components=(2, 3), dims=3)
+    assert mixture.best_of(tried) >= 12 and max(tried) > mixture.best_of(tried)
+    x = np.array([r[1] for r in rows], np.float32).astype(float)
+    for k, (criterion, model) in tried.items():
+        ll = mixture._logsumexp(model.log_joint(x)).sum()
+        assert abs(criterion - (model.parameters * np.log(len(x)) - 2 * ll)) < 1e-3
+    with pytest.raises(RuntimeError):
+        mixture.fits(features, components=(12,), dims=3, iterations=1)
