@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from ..scratch import materialise
 
 BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 256, 16, (8, 12, 16, 24), 2000, 1e-2, 1e-4, 5, 18
-MIN_SHARE = 0.003  #: words in a smaller share of the rows say little about groups and weigh 0
+MIN_SHARE = 0.003  #: words in a smaller share of the rows weigh as those in this share
 INIT_ROWS = 2000  #: rows, least by hash of their id, that the starting means are chosen from
 NOT_TERM = "[^а-яёa-z0-9]+"
 
@@ -60,8 +60,13 @@ def _emit(total: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(float))], ["i", "x"])
 
 
+def _idf(df_sketch: np.ndarray, n: int) -> np.ndarray:
+    """Weights of the buckets: every word counts, rare ones no more than those of the least share."""
+    return np.log(np.minimum((n + 1) / (df_sketch + 1), 1 / MIN_SHARE)) + 1
+
+
 def _bags(values: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Rows that have words, and their unit bags."""
+    """Rows whose bag is not zero, and their unit bags (words of equal place and opposite sign can cancel out)."""
     row, h = _tokens(values)
     if not len(row):
         return np.empty(0, np.int64), np.empty((0, BAG_DIMS))
@@ -70,11 +75,12 @@ def _bags(values: pa.Array, idf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     dim = ((h >> np.uint64(1)) % np.uint64(BAG_DIMS)).astype(np.int64)
     x = np.bincount(at * BAG_DIMS + dim, weights=sign * idf[_bucket(h)], minlength=len(rows) * BAG_DIMS).reshape(len(rows), BAG_DIMS)
     norm = np.sqrt((x * x).sum(1, keepdims=True))
-    return rows, x / np.where(norm > 0, norm, 1)
+    some = norm[:, 0] > 1e-9
+    return rows[some], x[some] / norm[some]
 
 
 def reduced_features(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS) -> DataFrame:
-    """``id, x``: standardised principal components of the rows' bags; rows without words have none."""
+    """``id, x``: standardised principal components of the rows' bags; rows without words, or with a zero bag, have none."""
     text = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("t")).where("id IS NOT NULL")
     n = max(1, text.count())
 
@@ -88,7 +94,7 @@ def reduced_features(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS
         yield _emit(total)
 
     df_sketch = _sum_pairs(text, count, 1 << SKETCH_BITS)
-    idf = np.where(df_sketch >= MIN_SHARE * n, np.log((n + 1) / (df_sketch + 1)) + 1, 0.0)
+    idf = _idf(df_sketch, n)
     size = BAG_DIMS * BAG_DIMS + BAG_DIMS + 1
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -259,7 +265,7 @@ def assign(features: DataFrame, model: Mixture, dims: int = DIMS) -> DataFrame:
 
 
 def mixture_clusters(df: DataFrame, id_col: str = "row_id", text_col: str = "col1", components: Sequence[int] = COMPONENTS, dims: int = DIMS) -> DataFrame:
-    """``id, cluster_id, log_density`` of every row; rows without words have cluster -1 and no density.
+    """``id, cluster_id, log_density`` of every row; rows without words, or whose bag is zero, have cluster -1 and no density.
 
     Repeated rows weigh each; rows without an id are left out; an empty table
     gives an empty result.

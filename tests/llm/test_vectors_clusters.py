@@ -5,6 +5,7 @@ import re
 from collections import defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from lexigrain.llm import mixture, setjoin, vectors
 
@@ -142,14 +143,23 @@ def test_log_density_by_hand():
 
 def test_mixture_tries_more_components_until_the_criterion_rises(spark):
     rng = np.random.default_rng(5)
-    centres = rng.normal(size=(12, 3)) * 20
-    rows = [(i, [float(v) for v in centres[i % 12] + rng.normal(size=3)]) for i in range(1200)]
+    centres = 30 * np.eye(4)[:, :3]
+    rows = [(i, [float(v) for v in centres[i % 4] + rng.normal(size=3)]) for i in range(400)]
     features = spark.createDataFrame(rows, "id bigint, x array<float>")
-    tried = mixture.fits(features, components=(2, 3), dims=3)
-    assert mixture.best_of(tried) >= 12 and max(tried) > mixture.best_of(tried)
+    tried = mixture.fits(features, components=(1, 2), dims=3)
+    assert mixture.best_of(tried) == 4 and max(tried) > mixture.best_of(tried)
     x = np.array([r[1] for r in rows], np.float32).astype(float)
     for k, (criterion, model) in tried.items():
         ll = mixture._logsumexp(model.log_joint(x)).sum()
         assert abs(criterion - (model.parameters * np.log(len(x)) - 2 * ll)) < 1e-3
     with pytest.raises(RuntimeError):
-        mixture.fits(features, components=(12,), dims=3, iterations=1)
+        mixture.fits(features, components=(4,), dims=3, iterations=1)
+
+
+def test_rare_words_weigh_and_zero_bags_have_no_cluster(spark):
+    rows = [(i, f"общее слово редкое{i}") for i in range(1000)] + [(2000, "единственное"), (2001, "")]
+    got = {r["id"]: r["x"] for r in mixture.reduced_features(spark.createDataFrame(rows, "id bigint, t string"), "id", "t", 4).collect()}
+    assert 2000 in got and 2001 not in got
+    assert len({tuple(got[i]) for i in range(1000)}) > 250
+    found, bags = mixture._bags(pa.array(["раз", "два три"]), np.zeros(1 << mixture.SKETCH_BITS))
+    assert len(found) == len(bags) == 0
