@@ -335,8 +335,11 @@ _SURNAME_RU = re.compile(r"(?:[оеё]в|[иы]н|[сц]к(?:ий|ой)|ич|[у
 _INITIAL_PAIR = re.compile(r"[А-ЯЁA-Z]\.\s?[А-ЯЁA-Z]\.")
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w'\-]+)[ ,]{1,2}\Z")
 _WORD_AFTER = re.compile(r"\s?([А-ЯЁA-Z][\w'\-]+)")
-_ONE_INITIAL = re.compile(r"[A-Z]\. [A-Z][a-z]\w+(?!\w)")
-_LEADS_INITIAL = re.compile(r"(?:[,:(] ?|\b(?:is|by|to|mr|ms|dr|from|with|dear|mrs)\.? )\Z", re.I)
+_ONE_INITIAL = re.compile(r"(?:[A-Z]\. [A-Z][a-z]|[А-ЯЁ]\. ?[А-ЯЁ][а-яё])\w+(?!\w)")
+_LEADS_INITIAL = re.compile(r"(?:[,:(] ?|\b(?:is|by|to|mr|ms|dr|from|with|dear|mrs|г-н|г-жа|от|для|зовут|уважением|уважаем(?:ый|ая))\.? )\Z", re.I)
+_STARTS_SENTENCE = re.compile(r"(?:^|[.!?…][\"'»)]?\s{1,3}|[\r\n]\s{0,3})\Z")
+_SHORTENED = re.compile(r"(?:\b(?:ул|пр|пл|пер|наб|просп|бул|им|ст|г|пос|st|ave|rd|no|vol|fig)|(?<!\w)[^\W\d_])\.\s{0,3}\Z", re.I)
+_CITIES = frozenset("азов белев гагарин жуков жуковский киров королев псков пушкин ростов саров саратов серов тамбов чехов белгород камышин боровск".split())
 _CALL = re.compile(r"(?:меня зовут|зовут меня|мо[её] имя|получатель|на имя|фио|ф\. ?и\. ?о\.|с уважением|подпись|my name is|i am called|regards|sincerely|yours|name)\s?[:,\-]?\s+", re.I)
 _INTRODUCTIONS = ("my name is", "regards,", "sincerely,", "engineer,", "manager,", "attn", "dear")
 _INTRODUCED = re.compile(r"\b(?:[Mm]y name is|MY NAME IS|[Rr]egards,|REGARDS,|[Ss]incerely,|[Ee]ngineer,|[Mm]anager,|[Aa]ttn:?|[Dd]ear)\s(?:M(?:r|s|rs|iss)\.?\s)?([A-Z][\w'\-]+,? [A-Z][\w'\-]+)(?=[\s.,;!?]|\Z)")
@@ -376,7 +379,7 @@ def _names(s: str, low: str) -> Iterator[tuple[int, int, str]]:
         if good[0] and spans.free(*good[1:]):
             spans.add(*good[1:])
     for m in _ONE_INITIAL.finditer(s):
-        if _LEADS_INITIAL.search(s, max(0, m.start() - 8), m.start()) and spans.free(*m.span()):
+        if _is_one_initial(s, m) and spans.free(*m.span()):
             spans.add(*m.span())
     for m in _INTRODUCED.finditer(s) if any(x in low for x in _INTRODUCTIONS) else ():
         if spans.free(*m.span(1)):
@@ -385,6 +388,18 @@ def _names(s: str, low: str) -> Iterator[tuple[int, int, str]]:
         yield a, b, name_key(s[a:b])
 
 
+def _is_one_initial(s: str, m: re.Match) -> bool:
+    """An initial and a surname after a word that leads to a name, or at the start of a sentence or line."""
+    word = _TOKEN.search(m.group(), 2).group()
+    cyr = "а" <= _fold(word)[0] <= "я"
+    if cyr and (_likeness(word) < 2 or m.group()[0] == "Г" and _fold(word) in _CITIES):
+        return False
+    lo = max(0, m.start() - 12)
+    if _LEADS_INITIAL.search(s, lo, m.start()):
+        return True
+    return bool(_surname_like(word) and _STARTS_SENTENCE.search(s, lo, m.start()) and not _SHORTENED.search(s, lo, m.start()))
+
+
 def _likeness(word: str) -> int:
     """How much a word beside initials looks like a surname: 0 not, 2 by its ending."""
     if not word[0].isupper() or not _surname_like(word) or _TITLE.match(word):

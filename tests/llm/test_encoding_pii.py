@@ -103,3 +103,18 @@ def test_table(spark):
     assert pii.masked(df.limit(0)).count() == 0 and pii.replacements(df.limit(0)).count() == 0
     assert pii.collisions(got).count() == 0
     assert pii.masked(df, secret="s").where("doc_id = 1").first()["masked"] != "Тел. 970 309-53-16"
+
+
+@pytest.mark.parametrize("text, name", [
+    ("I signed without reading it. O. Fosdosby said so", "O. Fosdosby"),
+    ("What is the plan?\r\nO. Stornurton\r\n", "O. Stornurton"),
+    ("Заказ не пришёл. Н. Ковалёв", "Н. Ковалёв"),
+    ("Платёж от И. Петрова получен", "И. Петрова"),
+])
+def test_one_initial_at_the_start_of_a_sentence(text, name):
+    assert [e.text for e in pii.find(text) if e.kind == "name"] == [name]
+
+
+@pytest.mark.parametrize("text", ["Доставка нужна. Г. Саров", "Number AB 12 34 56 C. Received yesterday", "Живу на ул. К. Марков"])
+def test_no_name_after_one_capital(text):
+    assert not [e for e in pii.find(text) if e.kind == "name"]
