@@ -467,12 +467,12 @@ def kmeans_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_random")
 def kmeans_random(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, 20, n_init=2, init="random", repair=False).assignments
+    return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, init="random", repair=False).assignments
 
 
 @query("kmeans_farthest")
 def kmeans_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, 20, n_init=2).assignments
+    return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, n_init=20).assignments
 
 
 @query("kmeans_topics")
@@ -481,7 +481,7 @@ def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _topics(spark, sf_dir).select("doc_id", X.letters_only("text").alias("cl"), X.letter_tokens("text").alias("tok"))
     bags = tfidf.bag(t, "doc_id", N.mixed_ngrams(N.token_char_ngrams(_C("tok")), _C("tok")))
     v, _ = tfidf.pruned_tfidf(bags, t.count(), "doc_id", 2, 20_000)
-    return spherical.spherical_kmeans(materialise(packed.pack(v, t)), 12, 20, n_init=1).assignments
+    return spherical.spherical_kmeans(materialise(packed.pack(v, t)), 12, n_init=20).assignments
 
 
 @query("kmeans_clusters")
@@ -491,7 +491,7 @@ def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("kmeans_summary")
 def kmeans_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, 20, n_init=1)
+    c = spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, n_init=20)
     return report.clustering_summary(c.assignments, c.score)
 
 

@@ -43,3 +43,27 @@ def test_entry_registers_what_there_is():
     import __spark_entry__ as e
 
     assert set(e.oracle_sql()) <= set(e.queries()) and set(Q.QUERIES) <= set(e.queries())
+
+
+@pytest.mark.parametrize("name, runs", [("kmeans_random", 10), ("kmeans_farthest", 20), ("kmeans_topics", 20), ("kmeans_summary", 20), ("kmeans_clusters", 20)])
+def test_kmeans_presets(spark, monkeypatch, name, runs):
+    import inspect
+
+    import __spark_entry__
+    from lexigrain.operators import spherical
+
+    signature, seen = inspect.signature(spherical.spherical_kmeans), {}
+
+    class Stop(Exception):
+        pass
+
+    def record(*args, **named):
+        bound = signature.bind(*args, **named)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise Stop
+
+    monkeypatch.setattr(spherical, "spherical_kmeans", record)
+    with pytest.raises(Stop):
+        __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
+    assert (seen["max_iterations"], seen["n_init"]) == (100, runs)
