@@ -408,7 +408,8 @@ def graph_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("graph_pipeline_topics")
 def graph_pipeline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pipelines.graph_clustering(_topics(spark, sf_dir), options=pipelines.GraphOptions(char_range=None)).clusters
+    """The same with its production options over a table that grows."""
+    return pipelines.graph_clustering(_topics(spark, sf_dir)).clusters
 
 
 # --- clustering ---------------------------------------------------------------
@@ -537,6 +538,12 @@ def agglomerative_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agglomerative.agglomerative_clusters(similarity.sparse_pairs(v, min_similarity=1e-9), d, 0.65)
 
 
+@query("agglomerative_topics")
+def agglomerative_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Average linkage over a table that grows."""
+    return agglomerative.agglomerative_clusters(similarity.sparse_pairs(_unit_words(spark, sf_dir), min_similarity=1e-9), _topics(spark, sf_dir), 0.65)
+
+
 # --- classification -----------------------------------------------------------
 _SQL_SPLIT = (
     "h AS (SELECT doc_id, text, label, md5('42:' || doc_id) AS h FROM topics12 WHERE label IS NOT NULL AND doc_id IS NOT NULL), "

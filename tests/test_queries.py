@@ -67,3 +67,27 @@ def test_kmeans_presets(spark, monkeypatch, name, runs):
     with pytest.raises(Stop):
         __spark_entry__.queries()[name](spark, "/root/testdata/sf0.001")
     assert (seen["max_iterations"], seen["n_init"]) == (100, runs)
+
+
+def test_graph_pipeline_topics_uses_the_production_options(spark, monkeypatch):
+    from lexigrain.plans import pipelines
+
+    class Stop(Exception):
+        pass
+
+    seen = []
+
+    def record(df, id_col="doc_id", text_col="text", options=pipelines.GraphOptions()):
+        seen.append(options)
+        raise Stop
+
+    monkeypatch.setattr(pipelines, "graph_clustering", record)
+    with pytest.raises(Stop):
+        Q.QUERIES["graph_pipeline_topics"](spark, DIR)
+    assert seen == [pipelines.GraphOptions()] and seen[0].char_range == (3, 5)
+
+
+def test_agglomerative_topics_covers_the_table(spark):
+    got = Q.QUERIES["agglomerative_topics"](spark, DIR).collect()
+    ids = {r["doc_id"] for r in spark.read.parquet(f"{DIR}/topics12.parquet").where("doc_id IS NOT NULL").collect()}
+    assert {r["doc_id"] for r in got} == ids and len(got) == len(ids)
