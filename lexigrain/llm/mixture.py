@@ -2,11 +2,13 @@
 
 Texts become hashed, frequency-weighted bags of words; the covariance over all
 rows gives principal components, which are standardised.  Expectation-
-maximisation fits full covariances with a ridge; every iteration is one pass
-over all rows that sums sufficient statistics, for all candidate numbers of
-components at once, until the likelihood settles.  The Bayesian information
-criterion chooses; while its choice is the largest number tried, larger ones are
-tried.  The members of highest density represent a cluster.
+maximisation fits full covariances with a ridge.  The mixture grows as a tree:
+the rows of a component are split again while the Bayesian information criterion
+of some number of parts is lower than that of one, so the number of components
+follows from the rows and has no limit.  A component too large for one task is
+split in passes over all its rows that sum sufficient statistics, for all such
+components and all numbers of parts at once; the others go to one task each and
+are split to the end there.  The members of highest density represent a cluster.
 """
 
 from __future__ import annotations
@@ -21,11 +23,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..scratch import materialise
+from ..operators.graph import dense_numbers
+from ..scratch import discard, materialise
+from ..sums import summed
 
-BAG_DIMS, DIMS, COMPONENTS, ITERATIONS, RIDGE, TOLERANCE, TYPICAL, SKETCH_BITS = 256, 16, (8, 12, 16, 24), 2000, 1e-2, 1e-4, 5, 18
+BAG_DIMS, DIMS, RIDGE, TYPICAL, SKETCH_BITS = 256, 16, 1e-2, 5, 18
+PARTS, PASS_PARTS = (2, 4), (4, 16)  #: numbers of parts tried within a task, and by passes over all rows
+ITERATIONS, TOLERANCE = 300, 1e-4  #: within a task
+PASSES, PASS_TOLERANCE = 40, 1e-3  #: over all rows; what has not settled by then is split further anyway, and marked
+TASK_ROWS, MAX_NODES = 20_000, 5_000  #: rows of a component that one task splits; beyond MAX_NODES components of that size, they may be larger
+INIT_ROWS = 256  #: rows of a component, least by hash of their id, that the starting means are chosen from
 MIN_SHARE = 0.003  #: words in a smaller share of the rows weigh as those in this share
-INIT_ROWS = 2000  #: rows, least by hash of their id, that the starting means are chosen from
 NOT_TERM = "[^а-яёa-z0-9]+"
 
 
@@ -47,19 +55,6 @@ def _bucket(h: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _sum_pairs(df: DataFrame, run, size: int) -> np.ndarray:
-    """Element-wise sum of arrays that tasks emit as ``i, x`` rows; ``size`` numbers reach the driver."""
-    out = np.zeros(size)
-    got = df.mapInArrow(run, "i int, x double").groupBy("i").agg(F.sum("x").alias("x")).toArrow()
-    out[got.column("i").to_numpy()] = got.column("x").to_numpy()
-    return out
-
-
-def _emit(total: np.ndarray) -> pa.RecordBatch:
-    at = np.flatnonzero(total)
-    return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(total[at].astype(float))], ["i", "x"])
-
-
 def _idf(df_sketch: np.ndarray, n: int) -> np.ndarray:
     """Weights of the buckets: every word counts, rare ones no more than those of the least share."""
     return np.log(np.minimum((n + 1) / (df_sketch + 1), 1 / MIN_SHARE)) + 1
@@ -84,27 +79,19 @@ def reduced_features(df: DataFrame, id_col: str, text_col: str, dims: int = DIMS
     text = df.select(F.col(id_col).alias("id"), F.lower(F.col(text_col).cast("string")).alias("t")).where("id IS NOT NULL")
     n = max(1, text.count())
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << SKETCH_BITS)
-        for b in batches:
-            row, h = _tokens(b.column(1))
-            if len(row):
-                bucket = np.unique(row * (1 << SKETCH_BITS) + _bucket(h)) % (1 << SKETCH_BITS)
-                total += np.bincount(bucket, minlength=len(total))
-        yield _emit(total)
-
-    df_sketch = _sum_pairs(text, count, 1 << SKETCH_BITS)
-    idf = _idf(df_sketch, n)
-    size = BAG_DIMS * BAG_DIMS + BAG_DIMS + 1
-
-    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(size)
-        for b in batches:
-            _, x = _bags(b.column(1), idf)
-            total += np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]])
-        yield _emit(total)
+    def count(total: np.ndarray, b: pa.RecordBatch) -> None:
+        row, h = _tokens(b.column(1))
+        if len(row):
+            bucket = np.unique(row * (1 << SKETCH_BITS) + _bucket(h)) % (1 << SKETCH_BITS)
+            total += np.bincount(bucket, minlength=len(total))
+
+    idf = _idf(summed(text, count, 1 << SKETCH_BITS), n)
 
-    total = _sum_pairs(text, moments, size)
+    def moments(total: np.ndarray, b: pa.RecordBatch) -> None:
+        _, x = _bags(b.column(1), idf)
+        total += np.concatenate([(x.T @ x).ravel(), x.sum(0), [len(x)]])
+
+    total = summed(text, moments, BAG_DIMS * BAG_DIMS + BAG_DIMS + 1)
     m = max(1.0, total[-1])
     mean = total[-BAG_DIMS - 1 : -1] / m
     values, axes = np.linalg.eigh(total[: BAG_DIMS * BAG_DIMS].reshape(BAG_DIMS, BAG_DIMS) / m - np.outer(mean, mean))
@@ -172,111 +159,212 @@ def _start(sample: np.ndarray, k: int) -> Mixture:
     return Mixture(np.full(k, 1 / k), np.array(chosen), np.repeat(np.eye(d)[None], k, 0))
 
 
-def _converge(features: DataFrame, n: int, models: dict[int, Mixture], dims: int, iterations: int, ridge: float) -> dict[int, tuple[float, Mixture]]:
-    """k -> (mean log-likelihood, mixture), each iterated until a pass raises it by less than the tolerance."""
-    upper = np.triu_indices(dims)
-    width = 1 + dims + len(upper[0])
-    done: dict[int, tuple[float, Mixture]] = {}
-    likelihood: dict[int, float] = {}
-    moving = dict(models)
-    for _ in range(iterations):
-        offsets = np.cumsum([0] + [k * width + 1 for k in moving])
-
-        def step(batches: Iterator[pa.RecordBatch], moving=dict(moving), offsets=offsets) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(offsets[-1])
-            for b in batches:
-                x = _monomials(b.column(0).flatten().to_numpy().astype(float).reshape(-1, dims))
-                for (k, model), at in zip(moving.items(), offsets):
-                    joint = model.log_joint_of(x)
-                    ll = _logsumexp(joint)
-                    total[at : at + k * width] += (np.exp(joint - ll[:, None]).T @ x).ravel()
-                    total[at + k * width] += ll.sum()
-            yield _emit(total)
-
-        sums = _sum_pairs(features.select("x"), step, int(offsets[-1]))
-        still = {}
-        for (k, model), at in zip(moving.items(), offsets):
-            s, ll = sums[at : at + k * width].reshape(k, width), float(sums[at + k * width]) / n
-            if k in likelihood and ll - likelihood[k] < TOLERANCE:
-                done[k] = ll, model
-                continue
-            mass = np.maximum(s[:, 0], 1e-9)
-            means = s[:, 1 : 1 + dims] / mass[:, None]
-            second = np.zeros((k, dims, dims))
-            second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = s[:, 1 + dims :] / mass[:, None]
-            cov = second - np.einsum("ki,kj->kij", means, means)
-            empty = s[:, 0] < 1e-6
-            means[empty], cov[empty] = model.means[empty], model.covariances[empty]
-            cov += ridge * np.eye(dims)
-            low = np.linalg.eigvalsh(cov).min(1)
-            if low.min() < ridge / 2:
-                cov += np.maximum(0, ridge - low)[:, None, None] * np.eye(dims)
-            likelihood[k] = ll
-            still[k] = Mixture(s[:, 0] / n, means, cov)
-        moving = still
-        if not moving:
-            return done
-    raise RuntimeError(f"mixtures of {sorted(moving)} components have not settled after {iterations} iterations")
-
-
-def fits(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int = DIMS, iterations: int = ITERATIONS, ridge: float = RIDGE) -> dict[int, tuple[float, Mixture]]:
-    """k -> (information criterion, settled mixture) for every number of components tried.
-
-    ``features`` holds ``id, x`` and is read once an iteration.  Numbers above
-    half the rows are left out (1 remains for tiny tables).  While the least
-    criterion is that of the largest number, a third more and twice as many are
-    tried; no number but half the rows ends this.
-    """
-    n = features.count()
-    out: dict[int, tuple[float, Mixture]] = {}
-    following = [k for k in sorted(set(components)) if 2 * k <= n] or [1] * min(n, 1)
-    while following:
-        rows = features.orderBy(F.xxhash64("id"), "id").limit(max(INIT_ROWS, 8 * following[-1])).collect()
-        sample = np.array([r["x"] for r in rows], float)
-        for k, (ll, model) in _converge(features, n, {k: _start(sample, k) for k in following}, dims, iterations, ridge).items():
-            out[k] = -2 * n * ll + model.parameters * np.log(n), model
-        top = max(out)
-        following = [k for k in (top * 4 // 3, top * 2) if 2 * k <= n and k > top] if best_of(out) == top else []
-    return out
+def _expect(model: Mixture, monomials: np.ndarray) -> tuple[np.ndarray, float]:
+    """Sufficient statistics of the components, one row each, and the log-likelihood."""
+    joint = model.log_joint_of(monomials)
+    ll = _logsumexp(joint)
+    return np.exp(joint - ll[:, None]).T @ monomials, float(ll.sum())
 
 
-def best_of(tried: dict[int, tuple[float, Mixture]]) -> int:
-    """The number of components of least criterion; ties go to the smaller."""
-    return min(tried, key=lambda k: (tried[k][0], k))
+def _maximise(s: np.ndarray, model: Mixture, ridge: float) -> Mixture:
+    """The mixture that the statistics give; a component without rows keeps its place."""
+    k, dims = model.means.shape
+    upper = np.triu_indices(dims)
+    mass = np.maximum(s[:, 0], 1e-9)
+    means = s[:, 1 : 1 + dims] / mass[:, None]
+    second = np.zeros((k, dims, dims))
+    second[:, upper[0], upper[1]] = second[:, upper[1], upper[0]] = s[:, 1 + dims :] / mass[:, None]
+    cov = second - np.einsum("ki,kj->kij", means, means)
+    empty = s[:, 0] < 1e-6
+    means[empty], cov[empty] = model.means[empty], model.covariances[empty]
+    cov += ridge * np.eye(dims)
+    low = np.linalg.eigvalsh(cov).min(1)
+    if low.min() < ridge / 2:
+        cov += np.maximum(0, ridge - low)[:, None, None] * np.eye(dims)
+    return Mixture(s[:, 0] / max(s[:, 0].sum(), 1e-300), means, cov)
+
+
+def criterion(model: Mixture, log_likelihood: float, n: int) -> float:
+    """The Bayesian information criterion: less is better."""
+    return -2 * log_likelihood + model.parameters * np.log(max(n, 1))
+
+
+class Fit:
+    """One mixture on its way: ``step`` takes the sums of a pass; the criterion is that of the model itself, not of one before."""
+
+    def __init__(self, model: Mixture, n: int, tolerance: float, most: int, ridge: float):
+        self.model, self.n, self.tolerance, self.most, self.ridge = model, n, tolerance, most, ridge
+        self.passes, self.settled, self.done = 0, False, False
+        self.log_likelihood = -np.inf
+
+    def step(self, sums: np.ndarray, log_likelihood: float) -> None:
+        self.passes += 1
+        gain = (log_likelihood - self.log_likelihood) / max(self.n, 1)
+        self.log_likelihood = log_likelihood
+        # the second model of a single component is exact, as its statistics do not depend on the first
+        self.settled = gain < self.tolerance or len(self.model.means) == 1 and self.passes == 2
+        self.done = self.settled or self.passes >= self.most
+        if not self.done:
+            self.model = _maximise(sums, self.model, self.ridge)
 
+    @property
+    def criterion(self) -> float:
+        return criterion(self.model, self.log_likelihood, self.n)
 
-def fit(features: DataFrame, components: Sequence[int] = COMPONENTS, dims: int = DIMS, iterations: int = ITERATIONS, ridge: float = RIDGE) -> Mixture | None:
-    """The mixture of least information criterion; None where there are no rows."""
-    tried = fits(features, components, dims, iterations, ridge)
-    return tried[best_of(tried)][1] if tried else None
 
+def best_of(tried: list[Fit]) -> Fit:
+    """The fit of least criterion; ties go to fewer components."""
+    return min(tried, key=lambda f: (f.criterion, len(f.model.means)))
 
-def assign(features: DataFrame, model: Mixture, dims: int = DIMS) -> DataFrame:
-    """``id, cluster_id, log_density``: the likeliest component (ties: the lower) and the density of the row in it."""
-    schema = T.StructType([features.schema["id"], T.StructField("cluster_id", T.IntegerType()), T.StructField("log_density", T.DoubleType())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            joint = model.log_joint(b.column(1).flatten().to_numpy().astype(float).reshape(-1, dims))
-            best = joint.argmax(1)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(best.astype(np.int32)), pa.array(np.round(joint[np.arange(len(joint)), best] - np.log(model.weights[best]), 6))], schema.names)
+def _numbers(parts: Sequence[int], n: int) -> list[int]:
+    """1, and the numbers of parts that leave two rows each."""
+    return [1, *sorted({k for k in parts if 1 < k and 2 * k <= n})]
 
-    return features.select("id", "x").mapInArrow(run, schema)
 
+def fit_rows(x: np.ndarray, parts: Sequence[int] = PARTS, iterations: int = ITERATIONS, tolerance: float = TOLERANCE, ridge: float = RIDGE) -> list[Fit]:
+    """Fits of 1 and each number of ``parts`` components to rows in memory."""
+    monomials, out = _monomials(x), []
+    for k in _numbers(parts, len(x)):
+        f = Fit(_start(x[:: max(1, len(x) // INIT_ROWS)], k), len(x), tolerance, max(2, iterations), ridge)
+        while not f.done:
+            f.step(*_expect(f.model, monomials))
+        out.append(f)
+    return out
 
-def mixture_clusters(df: DataFrame, id_col: str = "row_id", text_col: str = "col1", components: Sequence[int] = COMPONENTS, dims: int = DIMS) -> DataFrame:
-    """``id, cluster_id, log_density`` of every row; rows without words, or whose bag is zero, have cluster -1 and no density.
 
-    Repeated rows weigh each; rows without an id are left out; an empty table
-    gives an empty result.
+def grow(x: np.ndarray, **options) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(component, log density in it, whether its fit has settled) of each row: components are split while the criterion falls."""
+    label, density, settled = np.zeros(len(x), np.int32), np.zeros(len(x)), np.zeros(len(x), bool)
+    todo, done = [np.arange(len(x))] if len(x) else [], 0
+    while todo:
+        rows = todo.pop()
+        fits = fit_rows(x[rows], **options)
+        best = best_of(fits)
+        part = best.model.log_joint(x[rows]).argmax(1)
+        if (part == part[0]).all():
+            label[rows], density[rows], settled[rows] = done, fits[0].model.log_joint(x[rows])[:, 0], all(f.settled for f in fits)
+            done += 1
+        else:
+            todo += [rows[part == c] for c in np.unique(part)[::-1]]
+    return label, density, settled
+
+
+def _pass(rows: DataFrame, open_: dict[int, list[Fit]], dims: int) -> None:
+    """One step of every unfinished fit, from one pass over the rows of their nodes."""
+    width = 1 + dims + dims * (dims + 1) // 2
+    moving = [(node, f) for node, fits in open_.items() for f in fits if not f.done]
+    models: dict[int, list[tuple[int, Mixture]]] = {}
+    size = 0
+    for node, f in moving:
+        models.setdefault(node, []).append((size, f.model))
+        size += len(f.model.means) * width + 1
+
+    def add(total: np.ndarray, b: pa.RecordBatch) -> None:
+        x, node = b.column(1).flatten().to_numpy().astype(float).reshape(-1, dims), b.column(2).to_numpy()
+        for n in np.unique(node):
+            if int(n) in models:
+                m = _monomials(x[node == n])
+                for at, model in models[int(n)]:
+                    sums, ll = _expect(model, m)
+                    total[at : at + sums.size] += sums.ravel()
+                    total[at + sums.size] += ll
+
+    total, at = summed(rows, add, size), 0
+    for _, f in moving:
+        k = len(f.model.means)
+        f.step(total[at : at + k * width].reshape(k, width), float(total[at + k * width]))
+        at += k * width + 1
+
+
+def _split_by_passes(features: DataFrame, dims: int, task_rows: int, parts: Sequence[int], passes: int, ridge: float) -> tuple[DataFrame, dict[int, tuple[Mixture, bool]]]:
+    """(``id, x, node`` with every node small enough for a task or whole; node -> mixture and whether settled of those that stay whole)."""
+    whole: dict[int, tuple[Mixture, bool]] = {}
+    following = 1
+    rows = materialise(features.select("id", "x", F.lit(0).alias("node")))
+    while True:
+        sizes = {r["node"]: r["n"] for r in rows.groupBy("node").agg(F.count("*").alias("n")).collect() if r["node"] not in whole}
+        task_rows = max(task_rows, sum(sizes.values()) // MAX_NODES)
+        large = {node: n for node, n in sizes.items() if n > task_rows}
+        if not large:
+            return rows, whole
+        mine = rows.where(F.col("node").isin(list(large)))
+        place = F.row_number().over(Window.partitionBy("node").orderBy(F.xxhash64("id"), "id"))
+        sample: dict[int, list] = {}
+        for r in mine.withColumn("place", place).where(F.col("place") <= INIT_ROWS).select("node", "x").collect():
+            sample.setdefault(r["node"], []).append(r["x"])
+        open_ = {node: [Fit(_start(np.array(sample[node], float), k), n, PASS_TOLERANCE, max(2, passes), ridge) for k in _numbers(parts, n)] for node, n in large.items()}
+        while any(not f.done for fits in open_.values() for f in fits):
+            _pass(mine, open_, dims)
+        splits: dict[int, tuple[int, Mixture]] = {}
+        for node, fits in open_.items():
+            best = best_of(fits)
+            if len(best.model.means) == 1:
+                whole[node] = best.model, all(f.settled for f in fits)
+            else:
+                splits[node] = following, best.model
+                following += len(best.model.means)
+
+        def move(batches: Iterator[pa.RecordBatch], splits=splits) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                node = b.column(2).to_numpy().copy()
+                x = b.column(1).flatten().to_numpy().astype(float).reshape(-1, dims)
+                for n in np.unique(node):
+                    if int(n) in splits:
+                        at = np.flatnonzero(node == n)
+                        first, model = splits[int(n)]
+                        node[at] = first + model.log_joint(x[at]).argmax(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(node)], ["id", "x", "node"])
+
+        if not splits:
+            continue
+        moved = materialise(rows.mapInArrow(move, rows.schema))
+        if moved.where(F.col("node").isin([first + c for first, model in splits.values() for c in range(len(model.means))])).groupBy("node").count().count() == len(splits):
+            # no split has parted any rows: what is left stays whole
+            whole |= {first + c: (open_[node][0].model, all(f.settled for f in open_[node])) for node, (first, model) in splits.items() for c in range(len(model.means))}
+        discard(rows)
+        rows = moved
+
+
+def mixture_clusters(df: DataFrame, id_col: str = "row_id", text_col: str = "col1", dims: int = DIMS, task_rows: int = TASK_ROWS, parts: Sequence[int] = PARTS, pass_parts: Sequence[int] = PASS_PARTS, passes: int = PASSES, ridge: float = RIDGE) -> DataFrame:
+    """``id, cluster_id, log_density, settled`` of every row; rows without words, or whose bag is zero, have cluster -1 and null besides.
+
+    Components are numbered from 0.  ``log_density`` is that of the row in its
+    component, a Gaussian; ``settled`` tells whether the fits that left the
+    component whole had reached their tolerance.  Repeated rows weigh each; rows
+    without an id are left out; an empty table gives an empty result.
     """
-    features = materialise(reduced_features(df, id_col, text_col, dims))
-    model = fit(features, components, dims)
+    id_type = df.schema[id_col].dataType
+    features = reduced_features(df, id_col, text_col, dims)
+    rows, whole = _split_by_passes(features, dims, task_rows, pass_parts, passes, ridge)
+    schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("node int, part int, log_density double, settled boolean").fields])
+
+    def density(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            x, node = b.column(1).flatten().to_numpy().astype(float).reshape(-1, dims), b.column(2).to_numpy()
+            value, ok = np.zeros(len(node)), np.zeros(len(node), bool)
+            for n in np.unique(node):
+                at = np.flatnonzero(node == n)
+                model, settled = whole[int(n)]
+                value[at], ok[at] = model.log_joint(x[at])[:, 0], settled
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.zeros(len(node), np.int32)), pa.array(np.round(value, 6)), pa.array(ok)], schema.names)
+
+    def finish(t: pa.Table) -> pa.Table:
+        t = t.combine_chunks()
+        by = np.argsort(t.column("id").to_numpy(), kind="stable")  # the result does not depend on the order of arrival
+        t = t.take(pa.array(by))
+        x = t.column("x").combine_chunks().flatten().to_numpy().astype(float).reshape(-1, dims)
+        label, value, ok = grow(x, parts=parts, ridge=ridge)
+        return pa.table([t.column("id"), t.column("node"), pa.array(label), pa.array(np.round(value, 6)), pa.array(ok)], names=schema.names)
+
+    left = rows.where(~F.col("node").isin(list(whole))) if whole else rows
+    got = left.groupBy("node").applyInArrow(finish, schema)
+    if whole:
+        got = got.unionByName(rows.where(F.col("node").isin(list(whole))).mapInArrow(density, schema))
+    got = dense_numbers(materialise(got.withColumn("component", F.struct("node", "part"))), "component", "cluster_id").select("id", "cluster_id", "log_density", "settled")
     ids = df.select(F.col(id_col).alias("id")).where("id IS NOT NULL")
-    if model is None:
-        return ids.select(F.col("id").alias(id_col), F.lit(-1).alias("cluster_id"), F.lit(None).cast("double").alias("log_density"))
-    got = assign(features, model, dims)
-    without = ids.join(got.select("id"), "id", "left_anti").select("id", F.lit(-1).alias("cluster_id"), F.lit(None).cast("double").alias("log_density"))
+    nothing = [F.lit(-1).alias("cluster_id"), F.lit(None).cast("double").alias("log_density"), F.lit(None).cast("boolean").alias("settled")]
+    without = ids.join(rows.select("id"), "id", "left_anti").select("id", *nothing)
     return got.unionByName(without).withColumnRenamed("id", id_col)
 
 

@@ -138,24 +138,33 @@ def test_row_clusters_against_brute_force(spark, hot, cap):
     assert setjoin.similar_row_clusters(df.limit(0)).count() == 0
 
 
-def test_mixture(spark):
+@pytest.mark.parametrize("task_rows", [20_000, 150])
+def test_mixture(spark, task_rows):
     rng = random.Random(1)
     topics = [[f"{t}{i}" for i in range(12)] for t in ("альфа", "бета", "гамма", "дельта")]
     rows = [(i, " ".join(rng.choices(topics[i % 4], k=12))) for i in range(400)] + [(1000, None), (1001, "  "), (1002, "?!")]
     df = spark.createDataFrame([(*r, 9) for r in rows], "row_id bigint, col1 string, cluster_id int")
-    got = mixture.mixture_clusters(df, components=(2, 4, 8), dims=6)
+    got = mixture.mixture_clusters(df, dims=6, task_rows=task_rows)
     labels = {r["row_id"]: r["cluster_id"] for r in got.collect()}
     assert {labels[i] for i in (1000, 1001, 1002)} == {-1} and len(labels) == 403
     by = defaultdict(lambda: defaultdict(int))
     for i in range(400):
         by[labels[i]][i % 4] += 1
     assert sum(max(v.values()) for v in by.values()) / 400 > 0.9
+    assert sorted(by) == list(range(len(by)))
     d = {r["cluster_id"]: r for r in mixture.describe(got, typical=3).collect()}
     assert sum(r["size"] for r in d.values()) == 403 and all(len(r["typical_ids"]) <= 3 for r in d.values())
     assert mixture.mixture_clusters(df.limit(0)).count() == 0
     assert mixture.mixture_clusters(df.limit(1)).count() == 1
 
 
+def test_equal_rows_stay_one_component(spark):
+    df = spark.createDataFrame([(i, "одна и та же жалоба") for i in range(60)], "row_id bigint, col1 string")
+    for task_rows in (20_000, 10):
+        got = mixture.mixture_clusters(df, dims=4, task_rows=task_rows).collect()
+        assert len(got) == 60 and {r["cluster_id"] for r in got} == {0} and len({r["log_density"] for r in got}) == 1
+
+
 def test_log_density_by_hand():
     m = mixture.Mixture(np.array([1.0]), np.zeros((1, 2)), np.array([[[2.0, 0.3], [0.3, 1.0]]]))
     x = np.array([[0.5, -1.0]])
@@ -164,19 +173,21 @@ def test_log_density_by_hand():
     assert np.allclose(m.log_joint(x)[0, 0], want)
 
 
-def test_mixture_tries_more_components_until_the_criterion_rises(spark):
+def test_components_are_split_while_the_criterion_falls():
     rng = np.random.default_rng(5)
-    centres = 30 * np.eye(4)[:, :3]
-    rows = [(i, [float(v) for v in centres[i % 4] + rng.normal(size=3)]) for i in range(400)]
-    features = spark.createDataFrame(rows, "id bigint, x array<float>")
-    tried = mixture.fits(features, components=(1, 2), dims=3)
-    assert mixture.best_of(tried) == 4 and max(tried) > mixture.best_of(tried)
-    x = np.array([r[1] for r in rows], np.float32).astype(float)
-    for k, (criterion, model) in tried.items():
-        ll = mixture._logsumexp(model.log_joint(x)).sum()
-        assert abs(criterion - (model.parameters * np.log(len(x)) - 2 * ll)) < 1e-3
-    with pytest.raises(RuntimeError):
-        mixture.fits(features, components=(4,), dims=3, iterations=1)
+    x = 30 * np.eye(8)[np.arange(800) % 8][:, :6] + rng.normal(size=(800, 6))
+    fits = mixture.fit_rows(x, parts=(2, 4, 8))
+    assert all(f.settled for f in fits)
+    for f in fits:  # the criterion is that of the model given, not of one before it
+        ll = mixture._logsumexp(f.model.log_joint(x)).sum()
+        assert abs(f.criterion - (f.model.parameters * np.log(len(x)) - 2 * ll)) < 1e-6
+    label, density, settled = mixture.grow(x, parts=(2,))
+    assert settled.all() and np.isfinite(density).all()
+    by = defaultdict(set)
+    for i, c in enumerate(label):
+        by[c].add(i % 8 if i % 8 < 6 else 6)  # two of the eight centres fall together
+    assert len(by) == 7 and all(len(v) == 1 for v in by.values())
+    assert not mixture.fit_rows(x, parts=(8,), iterations=2)[1].settled
 
 
 def test_rare_words_weigh_and_zero_bags_have_no_cluster(spark):
