@@ -142,7 +142,8 @@ def test_farthest_first(spark):
         gap = np.round(1 - (m @ m[chosen].T).max(1), 12)
         gap[chosen] = -1
         chosen.append(int(gap.argmax()))
-    assert spherical.farthest_first(p, 5, 11, 6) == chosen
+    ids, have = spherical.farthest_first(p, 5, [11, 11], 6)
+    assert ids == [chosen, chosen] and np.allclose(have[0], m[chosen])
 
 
 def test_empty_clusters_are_repaired(spark):
