@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.ngrams import padded_char_ngrams, word_ngrams
 from ..functions.text import classifier_tokens, normalised
-from .similarity import nearest_centroids
-from .tfidf import BROADCAST_VOCABULARY, bag, pruned_tfidf, tfidf
+from ..scratch import materialise
+from .packed import assign, check_matrix, pack
+from .tfidf import BROADCAST_VOCABULARY, bag, tfidf, vocabulary
 
 
 @dataclass(frozen=True)
@@ -43,10 +45,21 @@ class Classifier:
         A text without known features, or that scores 0 everywhere, gets the
         first label.  Null text reads as empty; null ids are left out.
         """
-        got = nearest_centroids(self.transform(df, id_col, text_col), self.centroids, df, id_col, cluster="label_id")
+        vectors = pack(self.transform(df, id_col, text_col), df, id_col)
         names = self.classes.select("label_id", F.col("label").alias("prediction"))
+        positive = F.col("similarity") > 0
+        got = assign(vectors, self.matrix(), unit=False, digits=12)
+        got = got.select(F.col("id").cast(df.schema[id_col].dataType).alias(id_col), F.when(positive, F.col("cluster_id")).otherwise(0).alias("label_id"), F.when(positive, F.col("similarity")).otherwise(0.0).alias("score"))
         return got.join(names, "label_id").select(id_col, "prediction", F.round("score", 6).alias("score"))
 
+    def matrix(self) -> np.ndarray:
+        """The centroids as rows; bounded by labels and vocabulary, and checked."""
+        k, w = self.classes.count(), int(self.vocabulary.agg(F.max("feature_id")).first()[0] or 0) + 1
+        check_matrix(k, w)
+        got, out = self.centroids.toArrow(), np.zeros((k, w))
+        out[got.column("label_id").to_numpy(), got.column("feature_id").to_numpy()] = got.column("w").to_numpy()
+        return out
+
     def typical(self, label: str | None = None, top: int = 20) -> DataFrame:
         """``label, rank, feature, w``: the heaviest features of one label or all, ties to the smaller feature."""
         if label is not None and not self.classes.where(F.col("label") == label).limit(1).count():
@@ -87,12 +100,13 @@ def fit(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col
     if found["k"] < 2:
         raise ValueError("at least two labels are needed")
     bags = features(rows, id_col, text_col, options).persist()
-    vectors, vocab = pruned_tfidf(bags, found["n"], id_col, options.min_df, options.max_features, "log")
-    vocab = vocab.persist()
+    vocab = materialise(vocabulary(bags, found["n"], options.min_df, options.max_features))
+    vectors = tfidf(bags, vocab, id_col, "log", normalise=True, broadcast=options.max_features <= BROADCAST_VOCABULARY)
     classes = counts.withColumn("label_id", (F.row_number().over(Window.orderBy("label")) - 1).cast("int"))
     total = vectors.join(rows.select(id_col, "label"), id_col).groupBy("label", "feature_id").agg(F.sum("w").alias("w"))
-    mean = total.join(classes, "label").select("label_id", "feature_id", (F.col("w") / F.col("n")).alias("w")).persist()
+    mean = materialise(total.join(classes, "label").select("label_id", "feature_id", (F.col("w") / F.col("n")).alias("w")))
+    bags.unpersist()
     norm = mean.groupBy("label_id").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    centroids = mean.join(norm, "label_id").select("label_id", "feature_id", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w")).persist()
-    classes = classes.join(norm, "label_id", "left").select("label_id", "label", "n", F.coalesce("norm", F.lit(0.0)).alias("norm")).persist()
-    return Classifier(options, vocab, centroids, classes)
+    centroids = mean.join(norm, "label_id").select("label_id", "feature_id", F.when(F.col("norm") > 0, F.col("w") / F.col("norm")).otherwise(F.col("w")).alias("w"))
+    classes = classes.join(norm, "label_id", "left").select("label_id", "label", "n", F.coalesce("norm", F.lit(0.0)).alias("norm"))
+    return Classifier(options, vocab, materialise(centroids), materialise(classes))

@@ -60,17 +60,22 @@ class Batch:
         """Products with the rows of ``matrix`` (k by width): one row a vector.
 
         Dense batches of one length go through a matrix product, others
-        through sums over their entries, in slices that bound the memory.
+        through sums over their entries, in blocks that bound the memory.
         """
         k, val = len(matrix), self.unit if unit else self.val
         if len(self.ids) and (self.n == matrix.shape[1]).all() and (self.idx.reshape(len(self.ids), -1) == np.arange(matrix.shape[1])).all():
             return val.reshape(len(self.ids), -1) @ matrix.T
-        out = np.zeros((len(self.ids), k))
-        step = max(1, 4_000_000 // max(k, 1))
-        for a in range(0, len(val), step):
-            part = matrix[:, self.idx[a : a + step]] * val[a : a + step]
-            for c in range(k):
-                out[:, c] += np.bincount(self.row[a : a + step], part[c], len(self.ids))
+        out, columns = np.zeros((len(self.ids), k)), np.ascontiguousarray(matrix.T)
+        rows = np.flatnonzero(self.n)
+        ends = np.cumsum(self.n[rows])
+        lo = 0
+        while lo < len(rows):  # blocks of whole rows
+            a = int(ends[lo - 1]) if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, a + max(1, 2_000_000 // max(k, 1)), side="right")))
+            b = int(ends[hi - 1])
+            starts = np.append(a, ends[lo : hi - 1]) - a
+            out[rows[lo:hi]] = np.add.reduceat(columns[self.idx[a:b]] * val[a:b, None], starts, axis=0)
+            lo = hi
         return out
 
 

@@ -61,28 +61,3 @@ def top_neighbors(pairs: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
     both = both.unionByName(both.select(F.col("neighbor_id").alias("doc_id"), F.col("doc_id").alias("neighbor_id"), "similarity"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), F.desc("neighbor_id"))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-
-
-def nearest_centroids(vectors: DataFrame, centroids: DataFrame, documents: DataFrame, id_col: str = "doc_id", key: str = "feature_id", cluster: str = "cluster_id", digits: int = 12) -> DataFrame:
-    """``id, cluster, score``: the centroid of largest dot product, ties to the smallest cluster.
-
-    ``centroids`` (``cluster, key, w``) are k bounded vectors and are joined on
-    the feature, broadcast where Spark finds them small.  A document that shares
-    no feature with any centroid, or scores no more than 0, is given the
-    smallest cluster.
-    """
-    scores = (
-        vectors.select(F.col(id_col), F.col(key), F.col("w").alias("_w")).join(centroids.select(cluster, key, F.col("w").alias("_c")), key)
-        .groupBy(id_col, cluster).agg(F.round(F.sum(F.col("_w") * F.col("_c")), digits).alias("score"))
-    )
-    best = _argmax(scores, id_col, cluster)
-    first = centroids.agg(F.min(cluster).alias("_first"))
-    out = documents.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(best, id_col, "left").join(F.broadcast(first))
-    positive = F.coalesce(F.col("score") > 0, F.lit(False))
-    return out.select(id_col, F.when(positive, F.col(cluster)).otherwise(F.col("_first")).alias(cluster), F.when(positive, F.col("score")).otherwise(F.lit(0.0)).alias("score"))
-
-
-def _argmax(scores: DataFrame, id_col: str, cluster: str) -> DataFrame:
-    """The best score of each id; of equal ones that of the smallest cluster.  A partial aggregation, no sort."""
-    best = F.min(F.struct((-F.col("score")).alias("s"), F.col(cluster).alias("c"))).alias("b")
-    return scores.groupBy(id_col).agg(best).select(id_col, F.col("b.c").alias(cluster), (-F.col("b.s")).alias("score"))

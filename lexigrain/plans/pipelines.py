@@ -48,20 +48,25 @@ class GraphResult:
     clusters: DataFrame
 
 
-def graph_clustering(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: GraphOptions = GraphOptions()) -> GraphResult:
-    """Clean, drop common words, weigh grams, find neighbours, link them, take components.
+def without_words(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """``doc_id, tokens`` without the ``word`` rows of ``words``, in their order; a text that loses all has an empty list.
 
-    Common words are taken out by an anti-join of the exploded tokens, which
-    keeps their order, rather than by a list that grows with the vocabulary.
+    An anti-join of the exploded tokens rather than a list that grows with the vocabulary.
     """
+    placed = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(words.select("word"), "word", "left_anti")
+    kept = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["word"]).alias("kept"))
+    return tokens.select("doc_id").join(kept, "doc_id", "left").select("doc_id", F.coalesce("kept", F.array().cast("array<string>")).alias("tokens"))
+
+
+def graph_clustering(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", options: GraphOptions = GraphOptions()) -> GraphResult:
+    """Clean, drop common words, weigh grams, find neighbours, link them, take components."""
     o = options
     n = df.where(F.col(id_col).isNotNull()).count()
     tokens = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), clean_tokens(text_col).alias("tokens"))
     bags = bag(tokens, "doc_id", F.col("tokens"))
     words = document_frequency(bags).withColumnRenamed("feature", "word")
     common = frequent_words(bags, n, o.max_share).select(F.col("feature").alias("word"), "df")
-    placed = tokens.select("doc_id", F.posexplode("tokens").alias("pos", "word")).join(common, "word", "left_anti")
-    kept = placed.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("pos", "word"))).alias("t")).select("doc_id", F.transform("t", lambda x: x["word"]).alias("tokens"))
+    kept = without_words(tokens, common)
     parts = [(word_ngrams(F.col("tokens"), *o.word_range, " ", "W:"), o.word_weight)]
     if o.char_range:
         parts.append((char_ngrams(F.array_join("tokens", " "), *o.char_range, "C:"), o.char_weight))
@@ -84,7 +89,7 @@ def csv_clustering(spark: SparkSession, path: str, out: str, k: int = 10, batch_
     """Reads a CSV file, clusters its rows by mini-batch k-means, writes them with their cluster; (labels, centroids, vocabulary)."""
     rows = materialise(load_csv(spark, path, has_header))
     vectors, vocab = ticket_vectors(rows, "row_id", min_df, max_features)
-    vocab = vocab.persist()
+    vocab = materialise(vocab)
     labels, centroids = minibatch_kmeans(materialise(pack(vectors, rows, "row_id")), k, batch_size, iterations)
     labels = labels.withColumnRenamed("id", "row_id")
     save_clustered(rows, labels, out)

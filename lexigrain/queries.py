@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import clustering_sql as C
 from .functions import ngrams as N
 from .functions import text as X
 from .operators import agglomerative, classify, graph, leader, metrics, minibatch, packed, records, report, similarity, spherical, tfidf
 from .plans import pipelines
 from .scratch import materialise, new_path
 from .sources import corpora, csvfiles
+from .streaming.classify import predict_stream
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -281,11 +283,21 @@ def common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tfidf.frequent_words(tfidf.bag(_clean(d), "doc_id", _C("tok")), d.count(), 0.3)
 
 
-@query("without_common_words", f"WITH {_sql_text('documents')}, p AS (SELECT doc_id, {_SQL_CLEAN} AS tok FROM t), u AS (SELECT doc_id, unnest(tok) AS w FROM p), c AS (SELECT w FROM u GROUP BY w HAVING count(DISTINCT doc_id) / (SELECT count(*) FROM t) > 0.3) SELECT doc_id, count(*) AS n_tokens FROM u WHERE w NOT IN (SELECT w FROM c) GROUP BY doc_id")
+@query("without_common_words", f"WITH {_sql_text('documents')}, p AS (SELECT doc_id, {_SQL_CLEAN} AS tok FROM t), u AS (SELECT doc_id, unnest(tok) AS w FROM p), c AS (SELECT list(w) AS common FROM (SELECT w FROM u GROUP BY w HAVING count(DISTINCT doc_id) / (SELECT count(*) FROM t) > 0.3)) SELECT doc_id, array_to_string(list_filter(tok, lambda x: NOT list_contains(coalesce(common, []), x)), '|') AS tokens FROM p, c")
 def without_common_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tokens in their order, without those in more than 0.3 of the texts."""
     d = read(spark, sf_dir, "documents").where("doc_id IS NOT NULL")
-    common = common_words(spark, sf_dir).select(_C("feature").alias("w"))
-    return _clean(d).select("doc_id", F.explode("tok").alias("w")).join(common, "w", "left_anti").groupBy("doc_id").agg(F.count("*").alias("n_tokens"))
+    kept = pipelines.without_words(_clean(d).withColumnRenamed("tok", "tokens"), common_words(spark, sf_dir).select(_C("feature").alias("word")))
+    return kept.select("doc_id", F.array_join("tokens", "|").alias("tokens"))
+
+
+@query("tfidf_mixed", f"WITH {_sql_text()}, p AS (SELECT doc_id, {_SQL_LETTERS} AS cl FROM t), q AS (SELECT doc_id, regexp_extract_all(cl, '[{_LETTER}]+') AS tok FROM p), n AS (SELECT count(*) AS n FROM t), bag AS (SELECT doc_id, feature, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({_sql_concat([_sql_token_chars('tok', 2, 5), _sql_words_range('tok', 1, 2, ' ')])}) AS feature FROM q) GROUP BY ALL), df AS (SELECT feature, count(*) AS df FROM bag GROUP BY feature), v AS (SELECT doc_id, bag.feature, tf * ({_IDF}) AS w FROM bag JOIN df USING (feature), n), x AS (SELECT doc_id, feature, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS w FROM v) SELECT t.doc_id, feature, w FROM t LEFT JOIN x USING (doc_id)")
+def tfidf_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Character and word grams over the whole vocabulary; a text without features has one row of nulls."""
+    t = _topics(spark, sf_dir)
+    bags = tfidf.bag(t.select("doc_id", X.letter_tokens("text").alias("tok")), "doc_id", N.mixed_ngrams(N.token_char_ngrams(_C("tok")), _C("tok")))
+    v = tfidf.tfidf(bags, tfidf.vocabulary(bags, t.count()), "doc_id", "raw", normalise=True)
+    return t.select("doc_id").join(v.select("doc_id", "feature", F.round("w", 6).alias("w")), "doc_id", "left")
 
 
 @query("labels_distinct", "SELECT DISTINCT label FROM topics12 WHERE label IS NOT NULL")
@@ -400,13 +412,30 @@ def random_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.random_projection(_unit_words(spark, sf_dir), _topics(spark, sf_dir))
 
 
-@query("graph_pipeline")
+def _sql_pipeline(texts: str) -> str:
+    """The graph clustering with its production options over ``texts``, which selects doc_id and text."""
+    grams = f"SELECT doc_id, unnest({_sql_words_range('tok', 1, 2, ' ', 'W:')}) AS feature, 1.0::DOUBLE AS x FROM p UNION ALL SELECT doc_id, unnest({_sql_chars_range('joined', 3, 5, 'C:')}) AS feature, 1.2::DOUBLE AS x FROM p"
+    unit = (
+        f"WITH RECURSIVE t AS (SELECT doc_id, coalesce(text, '') AS text FROM ({texts}) WHERE doc_id IS NOT NULL), n AS (SELECT count(*) AS n FROM t), p0 AS (SELECT doc_id, {_SQL_CLEAN} AS tok FROM t), "
+        "c AS (SELECT list(w) AS common FROM (SELECT w FROM (SELECT doc_id, unnest(tok) AS w FROM p0) GROUP BY w HAVING count(DISTINCT doc_id) / (SELECT count(*) FROM t) > 0.85)), "
+        "p AS (SELECT doc_id, tok, array_to_string(tok, ' ') AS joined FROM (SELECT doc_id, list_filter(tok, lambda x: NOT list_contains(coalesce(common, []), x)) AS tok FROM p0, c)), "
+        f"bag AS (SELECT doc_id, feature, sum(x) AS tf FROM ({grams}) GROUP BY ALL), df AS (SELECT feature, count(*) AS df FROM bag GROUP BY feature), "
+        f"v AS (SELECT doc_id, bag.feature, tf * ({_IDF}) AS w FROM bag JOIN df USING (feature), n), u AS (SELECT doc_id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM v)"
+    )
+    return unit + _SQL_COMPONENTS[len(_SQL_UNIT.replace("WITH ", "WITH RECURSIVE ", 1)) :] + " SELECT doc_id, cluster_id FROM cl"
+
+
+def _values(texts: tuple[str, ...]) -> str:
+    return "SELECT doc_id::BIGINT AS doc_id, text FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)) + ") v(doc_id, text)"
+
+
+@query("graph_pipeline", _sql_pipeline(_values(corpora.TICKETS)))
 def graph_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole graph clustering with word and character grams, over the ticket texts in memory."""
     return pipelines.graph_clustering(corpora.tickets(spark)).clusters
 
 
-@query("graph_pipeline_topics")
+@query("graph_pipeline_topics", _sql_pipeline("SELECT doc_id, text FROM topics12"))
 def graph_pipeline_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same with its production options over a table that grows."""
     return pipelines.graph_clustering(_topics(spark, sf_dir)).clusters
@@ -466,12 +495,15 @@ def kmeans_two_rounds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.assignments
 
 
-@query("kmeans_random")
+_SQL_POINTS = "SELECT vec_id AS id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings"
+
+
+@query("kmeans_random", C.kmeans(_SQL_POINTS, _K, 10, False, "SELECT id, cluster_id, similarity FROM best"))
 def kmeans_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, init="random", repair=False).assignments
 
 
-@query("kmeans_farthest")
+@query("kmeans_farthest", C.kmeans(_SQL_POINTS, _K, 20, True, "SELECT id, cluster_id, similarity FROM best"))
 def kmeans_farthest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, n_init=20).assignments
 
@@ -485,12 +517,12 @@ def kmeans_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.spherical_kmeans(materialise(packed.pack(v, t)), 12, n_init=20).assignments
 
 
-@query("kmeans_clusters")
+@query("kmeans_clusters", C.kmeans(_SQL_POINTS, _K, 20, True, "SELECT cluster_id, count(*) OVER (PARTITION BY cluster_id) AS size, id FROM best"))
 def kmeans_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spherical.make_clusters(spark, kmeans_farthest(spark, sf_dir), _K)
 
 
-@query("kmeans_summary")
+@query("kmeans_summary", C.kmeans(_SQL_POINTS, _K, 20, True, "SELECT count(*) AS clusters, sum(size)::BIGINT AS rows, min(size) AS smallest, max(size) AS largest, round(any_value(score), 4) AS score FROM (SELECT cluster_id, count(*) AS size, any_value(score) AS score FROM best GROUP BY cluster_id)"))
 def kmeans_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = spherical.spherical_kmeans(_embedded(spark, sf_dir), _K, n_init=20)
     return report.clustering_summary(c.assignments, c.score)
@@ -513,7 +545,7 @@ def minibatch_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return report.centroid_features(minibatch.minibatch_kmeans(p, 10)[1], vocab, 6)
 
 
-@query("leader_topics")
+@query("leader_topics", C.leaders(_SQL_PAIRS.replace(">= 0.18", ">= 0.35"), "SELECT doc_id, (dense_rank() OVER (ORDER BY leader) - 1)::INT AS cluster_id, leader, similarity FROM led"))
 def leader_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leader.leader_clustering(_pairs(spark, sf_dir, 0.35), _topics(spark, sf_dir))
 
@@ -524,7 +556,18 @@ def _eval_vectors(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     return d, tfidf.tfidf(bags, tfidf.vocabulary(bags, d.count()), "doc_id", normalise=True)
 
 
-@query("agglomerative_news")
+def _sql_positive(texts: str, first: int, last: int) -> str:
+    """All pairs of a positive cosine of word grams over ``texts``."""
+    words = r"regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')"
+    return (
+        f"WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM ({texts})), p AS (SELECT doc_id, {words} AS tok FROM t), n AS (SELECT count(*) AS n FROM t), "
+        f"bag AS (SELECT doc_id, feature, count(*)::DOUBLE AS tf FROM (SELECT doc_id, unnest({_sql_words_range('tok', first, last, ' ')}) AS feature FROM p) GROUP BY ALL), df AS (SELECT feature, count(*) AS df FROM bag GROUP BY feature), "
+        f"v AS (SELECT doc_id, bag.feature, tf * ({_IDF}) AS w FROM bag JOIN df USING (feature), n), u AS (SELECT doc_id, feature, w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)) AS w FROM v), "
+        "pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, sum(a.w * b.w) AS similarity FROM u a JOIN u b ON a.feature = b.feature AND a.doc_id < b.doc_id GROUP BY ALL)"
+    )
+
+
+@query("agglomerative_news", C.linkage(_sql_positive(_values(corpora.NEWS), 0, 1), 0.5))
 def agglomerative_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = corpora.news(spark)
     bags = tfidf.bag(d.select("doc_id", X.word_tokens("text").alias("tok")), "doc_id", N.word_ngrams(_C("tok"), 0, 1))
@@ -532,7 +575,7 @@ def agglomerative_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     return agglomerative.agglomerative_clusters(similarity.sparse_pairs(v, min_similarity=1e-9), d, 0.5)
 
 
-@query("agglomerative_items")
+@query("agglomerative_items", C.linkage(_sql_positive("SELECT item_id AS doc_id, text FROM eval_items", 1, 2), 0.65))
 def agglomerative_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, v = _eval_vectors(spark, sf_dir)
     return agglomerative.agglomerative_clusters(similarity.sparse_pairs(v, min_similarity=1e-9), d, 0.65)
@@ -617,10 +660,29 @@ def classifier_typical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _evaluation(spark, sf_dir).model.typical()
 
 
-@query("classifier_projection")
+_SQL_PROJECTION = _SQL_FIT + ", " + ", ".join([
+    "pts AS (SELECT doc_id, text, label FROM topics12 WHERE doc_id IS NOT NULL ORDER BY doc_id LIMIT 1500)", _sql_features("pbag", "pts"), _sql_unit("pvec", "pbag"),
+    "xy AS (SELECT doc_id, round(sum(CASE WHEN label_id = 0 THEN pvec.w * cent.w ELSE 0 END), 6) AS x, round(sum(CASE WHEN label_id = 1 THEN pvec.w * cent.w ELSE 0 END), 6) AS y FROM pvec JOIN cent USING (feature_id) WHERE label_id < 2 GROUP BY doc_id)",
+])
+
+
+@query("classifier_projection", _SQL_PROJECTION + " SELECT pts.doc_id, classes.label_id, coalesce(x, 0.0) AS x, coalesce(y, 0.0) AS y FROM pts LEFT JOIN xy USING (doc_id) LEFT JOIN classes USING (label)")
 def classifier_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = _topics(spark, sf_dir)
-    return _evaluation(spark, sf_dir).model.projection(t)
+    """The points of the plot with the number of their label (null for labels the model does not know)."""
+    t, model = _topics(spark, sf_dir), _evaluation(spark, sf_dir).model
+    return model.projection(t).join(t.join(model.classes, "label").select("doc_id", "label_id"), "doc_id", "left").select("doc_id", "label_id", "x", "y")
+
+
+@query("classifier_stream", _SQL_PREDICT + " SELECT doc_id, prediction FROM pred")
+def classifier_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The test texts classified as a stream of files."""
+    split = metrics.stratified_split(_topics(spark, sf_dir).where("label IS NOT NULL"))
+    model = classify.fit(split.where("split = 'train'"))
+    source, out, state = new_path(spark), new_path(spark), new_path(spark)
+    split.where("split = 'test'").select("doc_id", "text").write.parquet(source)
+    got = predict_stream(model, spark.readStream.schema("doc_id bigint, text string").parquet(source))
+    got.writeStream.format("parquet").option("path", out).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("doc_id bigint, prediction string").parquet(out)
 
 
 @query("confusion_matrix", _SQL_PREDICT + " SELECT label AS actual, prediction AS predicted, count(*) AS n FROM pred GROUP BY ALL")
@@ -660,6 +722,19 @@ def csv_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return csvfiles.load_csv(spark, path).select("col1", "col2", "col3", F.lit(-1).alias("cluster_id"))
 
 
+@query("lines_round_trip", "SELECT count(*) AS n, count(label) AS n_labels, (count(*) * (count(*) - 1) // 2)::BIGINT AS numbers, sum(length(text))::BIGINT AS chars, min(text) AS least, max(text) AS most FROM (SELECT regexp_replace(text, '[\\r\\n]+', ' ', 'g') AS text, regexp_replace(coalesce(label, '?'), '[\\r\\n]+', ' ', 'g') AS label FROM topics12 WHERE text IS NOT NULL AND doc_id IS NOT NULL)")
+def lines_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts and labels written as files of lines and loaded again, joined by line number; in totals, as the numbers follow the files."""
+    flat = lambda c: F.regexp_replace(c, r"[\r\n]+", " ")
+    t = _topics(spark, sf_dir).where("text IS NOT NULL").select(flat("text").alias("text"), flat(F.coalesce("label", F.lit("?"))).alias("label"))
+    t = materialise(t.coalesce(1))
+    paths = new_path(spark), new_path(spark)
+    for path, column in zip(paths, ("text", "label")):
+        t.select(column).coalesce(1).write.text(path)
+    d = csvfiles.load_lines(spark, *paths)
+    return d.agg(F.count("*").alias("n"), F.count("label").alias("n_labels"), F.sum("doc_id").alias("numbers"), F.sum(F.length("text")).alias("chars"), F.min("text").alias("least"), F.max("text").alias("most"))
+
+
 def _template_sql() -> str:
     values = ", ".join(f"({i}, " + ", ".join(f"'{x}'" for x in row) + ")" for i, row in enumerate(corpora.TEMPLATES))
     return f"SELECT i AS row_id, c1 || ' [ID обращение ' || i || ']' AS col1, c2 AS col2, c3 AS col3 FROM (SELECT unnest(range(0, 100000)) AS i) r JOIN (VALUES {values}) v(k, c1, c2, c3) ON v.k = r.i % 5"
@@ -670,15 +745,29 @@ def template_tickets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpora.template_tickets(spark)
 
 
-@query("labelled_topics")
-def labelled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return corpora.labelled_topics(spark)
+def _labelled_sql(per_class: int = 500, seed: int = 42) -> str:
+    pick = lambda *salt: "(('0x' || md5(" + " || ':' || ".join([f"'{seed}'", "id", *salt]) + ")[1:12])::BIGINT)"
+    lists = "[" + ", ".join(_quoted(w.split()) for w in corpora.TOPICS.values()) + "]"
+    at = lambda a, x: f"{a}[({x} % len({a})) + 1]"
+    own, names, everyday = f"({lists})[topic + 1]", _quoted(corpora.TOPICS), _quoted(corpora.COMMON.split())
+    return (
+        f"WITH d AS (SELECT range AS id, range % {len(corpora.TOPICS)} AS topic FROM range({per_class * len(corpora.TOPICS)})), "
+        f"w AS (SELECT *, list_transform(range(1, {pick(repr('n'))} % 8 + 6), lambda i: {at(own, pick(repr('w'), 'i'))}) AS chosen FROM d), "
+        f"e AS (SELECT *, list_concat([CASE WHEN {pick(repr('s'))} % 100 < 45 THEN chosen[1] || {at(_quoted(corpora.SUFFIXES), pick(repr('e')))} ELSE chosen[1] END], list_concat(chosen[2:], list_transform(range(1, {pick(repr('m'))} % 4 + 2), lambda i: {at(everyday, pick(repr('c'), 'i'))}))) AS every FROM w), "
+        f"o AS (SELECT id, topic, list_transform(list_sort(list_transform(every, lambda x, i: {{'k': {pick(repr('o'), '(i - 1)')}, 'x': x}})), lambda s: s.x) AS mixed FROM e) "
+        f"SELECT id AS doc_id, array_to_string(mixed, ' ') || {_quoted(('', '.', '!', '?', '...'))}[({pick(repr('p'))} % 5) + 1] AS text, ({names})[topic + 1] AS label FROM o"
+    )
 
 
-def _corpus_sql(texts: tuple[str, ...]) -> str:
-    return "SELECT doc_id::BIGINT AS doc_id, text FROM (VALUES " + ", ".join(f"({i}, '{t}')" for i, t in enumerate(texts)) + ") v(doc_id, text)"
+def _quoted(words) -> str:
+    return "[" + ", ".join(f"'{w}'" for w in words) + "]"
+
+
+@query("labelled_topics", _labelled_sql())
+def labelled_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return corpora.labelled_topics(spark)
 
 
-query("corpus_news", _corpus_sql(corpora.NEWS))(lambda spark, sf_dir: corpora.news(spark))
-query("corpus_tickets", _corpus_sql(corpora.TICKETS))(lambda spark, sf_dir: corpora.tickets(spark))
+query("corpus_news", _values(corpora.NEWS))(lambda spark, sf_dir: corpora.news(spark))
+query("corpus_tickets", _values(corpora.TICKETS))(lambda spark, sf_dir: corpora.tickets(spark))
 query("joined_columns", f"WITH {_ROW_TEXT} SELECT doc_id AS row_id, text FROM t")(lambda spark, sf_dir: read(spark, sf_dir, "clust2_csv").select("row_id", csvfiles.joined_text("col1", "col2", "col3").alias("text")))

@@ -47,15 +47,26 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+BYTES = 64 << 20  #: input of a partition that :func:`by_id` makes, as far as the sizes of the tables tell
+
+
+def input_bytes(df: DataFrame) -> int:
+    """Size of the tables and files a plan reads, as its leaves estimate it; rows given from memory, of no known size, do not count."""
+    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    sizes = [int(leaves.apply(i).stats().sizeInBytes()) for i in range(leaves.size())]
+    return sum(x for x in sizes if x < 1 << 62)
+
+
 def by_id(df: DataFrame, id_col: str) -> DataFrame:
     """``df`` hash-partitioned by its id.
 
     Moves each text once; whatever is then grouped by the id and something made
     from its row (grams, say) needs no further shuffle, and a small file that is
-    one split still keeps all cores busy.
+    one split still keeps all cores busy.  The number of partitions grows with
+    the size of the input, so a partition holds about ``BYTES`` of it at any size.
     """
     spark = df.sparkSession
-    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    n = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-input_bytes(df) // BYTES))
     return df.repartition(n, id_col)
 
 

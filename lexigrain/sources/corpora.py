@@ -98,7 +98,8 @@ def labelled_topics(spark: SparkSession, per_class: int = 500, seed: int = 42) -
     Every choice is a hash of seed, document and place, so the corpus is the
     same under any partitioning.
     """
-    pick = lambda *salt: F.abs(F.xxhash64(F.lit(seed), F.col("id"), *salt))
+    hexes = lambda *salt: F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("id").cast("string"), *[x.cast("string") for x in salt])), 1, 12)
+    pick = lambda *salt: F.conv(hexes(*salt), 16, 10).cast("bigint")  # noqa: E731  (MD5, which SQL engines share)
     words = F.array(*[F.array(*map(F.lit, w.split())) for w in TOPICS.values()])
     names = F.array(*map(F.lit, TOPICS))
     everyday = F.array(*map(F.lit, COMMON.split()))

@@ -1,5 +1,6 @@
 """Vectors, graphs and clusterings against plain Python on small fixtures."""
 
+import hashlib
 import math
 import random
 from collections import Counter, defaultdict
@@ -168,14 +169,27 @@ def test_all_zero_vectors_fall_to_cluster_0(spark):
     assert sorted(repaired.sizes) == [1, 1, 4]
 
 
-def test_minibatch(spark):
-    p, _ = _vectors(spark, 50)
-    labels, cent = minibatch.minibatch_kmeans(p, 3, 20, 5)
-    again, _ = minibatch.minibatch_kmeans(p.repartition(7), 3, 20, 5)
-    assert sorted(labels.collect()) == sorted(again.collect()) and labels.count() == 50
-    assert {r["cluster_id"] for r in cent.collect()} <= {0, 1, 2}
+@pytest.mark.parametrize("decay", [False, True])
+def test_minibatch(spark, decay):
+    """Against the plain loop over batches drawn by the same hash."""
+    rng = np.random.default_rng(3)
+    m = np.round(rng.normal(size=(90, 6)) * (rng.random((90, 6)) < 0.5), 3)
+    long = spark.createDataFrame([(i, j, float(m[i, j])) for i in range(90) for j in range(6) if m[i, j]], "doc_id bigint, feature_id int, w double")
+    p = packed.pack(long, spark.range(90).withColumnRenamed("id", "doc_id"))
+    draw = lambda it, n: sorted(range(90), key=lambda i: (hashlib.md5(f"42:{it}:{i}".encode()).hexdigest()[:12], i))[:n]
+    c, counts = m[draw(0, 4)].copy(), np.zeros(4)
+    for it in range(1, 6):
+        for i in draw(it, 20):
+            best = int(np.round(c @ m[i], 12).argmax())
+            counts[best] += 1
+            eta, has = 1 / counts[best], m[i] != 0
+            c[best] = np.where(has | decay, (1 - eta) * c[best] + eta * m[i], c[best])
+    labels, cent = minibatch.minibatch_kmeans(p.repartition(7), 4, 20, 5, decay_absent=decay)
+    got = {r["id"]: r["cluster_id"] for r in labels.collect()}
+    assert [got[i] for i in range(90)] == list(np.round(m @ c.T, 12).argmax(1))
+    assert all(r["w"] == pytest.approx(c[r["cluster_id"], r["feature_id"]]) for r in cent.collect())
     with pytest.raises(ValueError):
-        minibatch.minibatch_kmeans(p, 51)
+        minibatch.minibatch_kmeans(p, 91)
 
 
 def test_classifier_learns_the_topics(spark):
