@@ -54,9 +54,13 @@ def minibatch_kmeans(packed: DataFrame, k: int, batch_size: int = 2000, iteratio
             place = F.row_number().over(Window.partitionBy("batch").orderBy("h", "id"))
             wanted = F.when(F.col("batch") == 0, k).otherwise(batch_size)
             some = chosen.where((F.col("batch") >= it) & (F.col("batch") < last)).withColumn("place", place).where(F.col("place") <= wanted)
-            got = some.select("batch", "place", "idx", "val").toArrow().sort_by([("batch", "ascending"), ("place", "ascending")])
-            for i, idx, val in zip(got.column("batch").to_pylist(), got.column("idx").to_pylist(), got.column("val").to_pylist()):
-                held.setdefault(i, []).append((np.array(idx, int), np.array(val, float)))
+            got = some.select("batch", "place", "idx", "val").toArrow().sort_by([("batch", "ascending"), ("place", "ascending")]).combine_chunks()
+            if got.num_rows:
+                lists = [got.column(c).combine_chunks() for c in ("idx", "val")]
+                lists = [x.chunk(0) if hasattr(x, "chunk") else x for x in lists]
+                (at, idx), (_, val) = ((x.offsets.to_numpy(), x.values.to_numpy(zero_copy_only=False)) for x in lists)
+                for i, a, b in zip(got.column("batch").to_pylist(), at, at[1:]):
+                    held.setdefault(i, []).append((idx[a:b], val[a:b]))
         if len(held.get(it, ())) < min(k if it == 0 else batch_size, n):
             raise RuntimeError("the hash has drawn fewer rows than a batch")
         return held[it]
