@@ -29,11 +29,12 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p3_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.term_counts(_read(spark, sf_dir, "clust2_csv"), ["col1", "col2"]).drop("part", "local")
+    return p3_dictionary(spark, sf_dir).drop("term_id")
 
 
 def p3_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return terms.dictionary(_read(spark, sf_dir, "clust2_csv"), ["col1", "col2"])
+    """With the identifiers, which follow the partitioning."""
+    return terms.term_counts(_read(spark, sf_dir, "clust2_csv"), ["col1", "col2"])
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,6 +63,11 @@ def p6_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_corpus(_read(spark, sf_dir, "documents"))
 
 
+def p6_decoded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The texts again, from their ids."""
+    return tokens.decode_corpus(p6_ids(spark, sf_dir))
+
+
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p7_matches(spark, sf_dir).select("doc_id", "item_id")
 
@@ -133,4 +139,5 @@ def oracle_sql() -> dict[str, str]:
         "p3_found": _TERMS + "SELECT term FROM marked WHERE mark IS NOT NULL",
         "p3_terms": _TERMS + "SELECT term, n_col1, n_col2, n_total, n_rows, mark FROM marked",
         "p5_found": _CLUSTERS,
+        "p6_decoded": "SELECT doc_id, coalesce(text, '') AS text FROM documents",
     }

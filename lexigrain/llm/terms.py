@@ -1,10 +1,10 @@
 """Occurrences and rows of every distinct term, with the too rare and too common marked.
 
 Each block of rows is encoded with a dictionary of its own and counted into
-arrays (occurrences by column, rows).  The blocks' terms are then partitioned
-and sorted; a term's place in that order is its id in the global integer
-dictionary, so each partition holds one range of identifiers and sums the
-blocks' arrays over just that range.
+arrays (occurrences by column, rows); a task adds up its blocks.  The distinct
+terms of all tasks get the global integer dictionary: dense ids in the order of
+partition and term.  The tasks' counts are encoded with it, and the arrays of
+every range of identifiers are summed in one place.
 """
 
 from __future__ import annotations
@@ -14,13 +14,16 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-TERM = "[а-яёa-z0-9]+"
+from ..scratch import materialise
+
 NOT_TERM = "[^а-яёa-z0-9]+"
 MIN_ROWS = 3
 MAX_SHARE = 0.25
+HELD = 1_000_000  #: terms of blocks a task holds before it adds them up
+RANGE = 4096  #: identifiers whose arrays are summed together
 
 
 def _block_counts(columns: list[pa.Array], min_chars: int) -> tuple[pa.Array, np.ndarray, np.ndarray] | None:
@@ -51,6 +54,54 @@ def _block_counts(columns: list[pa.Array], min_chars: int) -> tuple[pa.Array, np
     return terms.filter(good), occ, rows
 
 
+def task_counts(df: DataFrame, columns: Sequence[str], min_chars: int) -> DataFrame:
+    """``term, o0..., n_rows``: what each task has counted over its blocks."""
+    names = [*(f"o{i}" for i in range(len(columns))), "n_rows"]
+    lowered = df.select(*[F.lower(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
+
+    def added(tables: list[pa.Table]) -> pa.Table:
+        t = pa.concat_tables(tables).group_by("term").aggregate([(n, "sum") for n in names])
+        return t.select(["term", *(f"{n}_sum" for n in names)]).rename_columns(["term", *names])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for b in batches:
+            got = _block_counts([b.column(i) for i in range(len(columns))], min_chars) if b.num_rows else None
+            if got:
+                terms, occ, rows = got
+                held.append(pa.table([terms, *(pa.array(occ[:, i]) for i in range(len(columns))), pa.array(rows)], names=["term", *names]))
+                size += len(terms)
+            if size > HELD:
+                t = added(held)
+                if t.num_rows > HELD // 2:  # too many distinct ones to go on with
+                    yield from t.to_batches(max_chunksize=65_536)
+                    held, size = [], 0
+                else:
+                    held, size = [t], t.num_rows
+        if held:
+            yield from added(held).to_batches(max_chunksize=65_536)
+
+    return lowered.mapInArrow(run, "term string, " + ", ".join(f"{n} bigint" for n in names))
+
+
+def global_dictionary(terms: DataFrame) -> DataFrame:
+    """``term, term_id``: ids dense from 0 in the order of partition and term; ``terms`` may hold a term more than once."""
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        part, at = TaskContext.get().partitionId(), 0
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(b.num_rows, part, np.int32)), pa.array(np.arange(at, at + b.num_rows))], ["term", "part", "local"])
+            at += b.num_rows
+
+    placed = materialise(terms.select("term").distinct().sortWithinPartitions("term").mapInArrow(number, "term string, part int, local bigint"))
+    sizes = placed.groupBy("part").agg(F.count("*").alias("n"))
+    # one row a partition
+    starts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("start"))
+    return placed.join(F.broadcast(starts), "part").select("term", (F.col("start") + F.col("local")).alias("term_id"))
+
+
 def term_counts(df: DataFrame, columns: Sequence[str], min_chars: int = 2, min_rows: int = MIN_ROWS, max_share: float = MAX_SHARE) -> DataFrame:
     """``term_id, term, n_<column>..., n_total, n_rows, mark`` of every distinct term.
 
@@ -59,72 +110,31 @@ def term_counts(df: DataFrame, columns: Sequence[str], min_chars: int = 2, min_r
     than ``min_rows`` rows), ``common`` (more than ``max_share`` of all rows) or
     null; rare wins.  Null and empty values have no terms but their rows count;
     repeated rows count each; an empty table gives an empty result.  ``term_id``
-    is dense, in order of partition and term.
+    is dense from 0.
 
-    One shuffle, of block totals and not of occurrences, so a term that is in
-    every row costs one line a block.
+    Only totals of tasks are shuffled, not occurrences, so a term that is in
+    every row costs one line a task.
     """
-    spark = df.sparkSession
-    names = [f"n_{c}" for c in columns]
-    lowered = df.select(*[F.lower(F.col(f"`{c}`").cast("string")).alias(f"c{i}") for i, c in enumerate(columns)])
     n_rows = df.count()
-    schema = "term string, " + ", ".join(f"o{i} bigint" for i in range(len(columns))) + ", n_rows bigint"
-
-    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            got = _block_counts([b.column(i) for i in range(len(columns))], min_chars) if b.num_rows else None
-            if got:
-                terms, occ, rows = got
-                yield pa.RecordBatch.from_arrays([terms, *(pa.array(occ[:, i]) for i in range(len(columns))), pa.array(rows)], ["term", *(f"o{i}" for i in range(len(columns))), "n_rows"])
+    names = [*(f"o{i}" for i in range(len(columns))), "n_rows"]
+    counted = materialise(task_counts(df, columns, min_chars))
+    words = materialise(global_dictionary(counted))
+    encoded = counted.join(words, "term").select("term_id", *names).repartition(F.floor(F.col("term_id") / RANGE))
 
     def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Sum the arrays of one identifier range; input is sorted by term, so a term may only continue in the next batch."""
-        base, held = 0, None
+        """Count arrays of the ranges of a task: one row an identifier, one column a count."""
+        arrays: dict[int, np.ndarray] = {}
         for b in batches:
-            t = pa.Table.from_batches([b] if held is None else [held, b]).combine_chunks()
-            if not t.num_rows:
-                continue
-            term = t.column(0).combine_chunks() if t.column(0).num_chunks != 1 else t.column(0).chunk(0)
-            head = np.ones(len(term), bool)
-            head[1:] = pc.not_equal(term.slice(1), term.slice(0, len(term) - 1)).to_numpy(zero_copy_only=False)
-            at = np.flatnonzero(head)
-            sums = [np.add.reduceat(t.column(i).to_numpy(), at) for i in range(1, t.num_columns)]
-            out = pa.RecordBatch.from_arrays([term.take(pa.array(at)), *map(pa.array, sums)], t.schema.names)
-            held = out.slice(len(at) - 1)
-            if len(at) > 1:
-                yield _with_ids(out.slice(0, len(at) - 1), base)
-                base += len(at) - 1
-        if held is not None:
-            yield _with_ids(held, base)
-
-    out_schema = schema + ", local bigint, part int"
-    summed = lowered.mapInArrow(blocks, schema).repartition(F.col("term")).sortWithinPartitions("term").mapInArrow(ranges, out_schema)
+            ids = b.column(0).to_numpy()
+            values = np.stack([b.column(i).to_numpy() for i in range(1, b.num_columns)], 1)
+            for r in np.unique(ids // RANGE):
+                at = ids // RANGE == r
+                np.add.at(arrays.setdefault(int(r), np.zeros((RANGE, len(names)), np.int64)), ids[at] % RANGE, values[at])
+        for r, a in arrays.items():
+            used = np.flatnonzero(a[:, -1])
+            yield pa.RecordBatch.from_arrays([pa.array(r * RANGE + used), *(pa.array(a[used, i]) for i in range(len(names)))], ["term_id", *names])
+
+    summed = encoded.mapInArrow(ranges, "term_id bigint, " + ", ".join(f"{n} bigint" for n in names))
     mark = F.when(F.col("n_rows") < min_rows, "rare").when(F.col("n_rows") > F.lit(max_share) * F.lit(n_rows), "common")
     total = sum((F.col(f"o{i}") for i in range(1, len(columns))), F.col("o0"))
-    return summed.select("part", "local", "term", *[F.col(f"o{i}").alias(n) for i, n in enumerate(names)], total.alias("n_total"), "n_rows", mark.alias("mark"))
-
-
-def _with_ids(b: pa.RecordBatch, base: int) -> pa.RecordBatch:
-    from pyspark import TaskContext
-
-    n = b.num_rows
-    return pa.RecordBatch.from_arrays([*b.columns, pa.array(np.arange(base, base + n)), pa.array(np.full(n, TaskContext.get().partitionId(), np.int32))], [*b.schema.names, "local", "part"])
-
-
-def dictionary(df: DataFrame, columns: Sequence[str], **options) -> DataFrame:
-    """:func:`term_counts` with ``term_id``: the global integer dictionary, dense from 0.
-
-    Needs the sizes of the identifier ranges first: one number a partition goes
-    to the driver, and the counts are kept in a shared table meanwhile.
-    """
-    from ..scratch import materialise
-
-    kept = materialise(term_counts(df, columns, **options))
-    sizes = sorted((r["part"], r["n"]) for r in kept.groupBy("part").agg(F.count("*").alias("n")).collect())
-    starts, at = {}, 0
-    for part, n in sizes:
-        starts[part], at = at, at + n
-    if not starts:
-        return kept.select(F.lit(0).cast("bigint").alias("term_id"), *kept.columns[2:])
-    offset = F.create_map(*[F.lit(x) for kv in starts.items() for x in kv])[F.col("part")]
-    return kept.select((offset + F.col("local")).cast("bigint").alias("term_id"), *kept.columns[2:])
+    return summed.join(words, "term_id").select("term_id", "term", *[F.col(f"o{i}").alias(f"n_{c}") for i, c in enumerate(columns)], total.alias("n_total"), "n_rows", mark.alias("mark"))

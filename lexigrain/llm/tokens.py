@@ -17,20 +17,23 @@ BPE merges never cross pretokens, so ids outside the window stay as they are.
 from __future__ import annotations
 
 import base64
+import os
 from bisect import bisect_left
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate, chain, zip_longest
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-DEFAULT_TOKENIZER = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+DEFAULT_TOKENIZER = os.environ.get("LEXIGRAIN_TOKENIZER", "/opt/tokenizers/byte_bpe_50k.tiktoken")
 # Fixed value: the published split pattern of this byte-level BPE vocabulary.
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
-LEAF_CHARS = 8192
+LEAF_CHARS = 128
 MAX_VOCABULARY_BYTES = 32 << 20
+CACHED = 200_000  #: pretokens whose ids a task remembers
 
 
 def read_vocabulary(path: str) -> bytes:
@@ -44,17 +47,16 @@ def read_vocabulary(path: str) -> bytes:
 
 @dataclass
 class Encoding:
-    """A part of a text: where it starts and ends, its pretoken starts, their first id, and the ids."""
+    """A part of a text: where it starts and ends, the starts of its pretokens, and the ids of each."""
 
     start: int
     end: int
-    starts: np.ndarray
-    first: np.ndarray
-    ids: np.ndarray
+    starts: list[int]
+    ids: list[tuple[int, ...]]
 
 
 class TreeEncoder:
-    """Encodes texts with the vocabulary; texts above ``leaf`` characters by tree reduction."""
+    """Encodes texts with the vocabulary by tree reduction over leaves of ``leaf`` characters, and decodes."""
 
     def __init__(self, vocabulary: bytes, leaf: int = LEAF_CHARS):
         import regex
@@ -62,67 +64,66 @@ class TreeEncoder:
 
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
         self.bpe = tiktoken.Encoding("byte_bpe", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.bytes_of = {i: b for b, i in ranks.items()}
         self.split = regex.compile(PATTERN)
         self.leaf = max(1, leaf)
+        self.known: dict[str, tuple[int, ...]] = {}
 
-    def encode(self, text: str | None) -> np.ndarray:
+    def encode(self, text: str | None) -> list[int]:
         """Ids of a text; none for null and empty texts."""
-        if not text:
-            return np.empty(0, np.int32)
-        if len(text) <= self.leaf:
-            return np.array(self.bpe.encode_ordinary(text), np.int32)
-        return self._reduce(text, 0, len(text)).ids
-
-    def _pieces(self, text: str, at: int, end: int, until: np.ndarray | None, offset: int) -> tuple[list[int], list[str], int]:
-        """Pretokens of ``text[at:end]`` until one ends at a start in ``until`` from ``offset`` on; and the index there."""
-        starts, pieces = [], []
-        while at < end:
-            if until is not None and at >= offset:
-                i = bisect_left(until, at)
-                if i < len(until) and until[i] == at:
-                    return starts, pieces, i
-            m = self.split.match(text, at, end)
-            starts.append(at)
-            pieces.append(m.group())
-            at = m.end()
-        return starts, pieces, -1
-
-    def _ids(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        each = [self.bpe._core_bpe.encode_single_piece(p.encode()) for p in pieces]
-        first = np.cumsum([0] + [len(x) for x in each])[:-1]
-        return first, np.array([i for x in each for i in x], np.int64)
-
-    def _reduce(self, text: str, start: int, end: int) -> Encoding:
+        return [i for piece in self._reduce(text).ids for i in piece] if text else []
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of its ids: bytes are concatenated up the tree, as a character may be spread over tokens."""
+        parts = [self.bytes_of[i] for i in ids]
+        while len(parts) > 1:
+            parts = [a + b for a, b in zip_longest(parts[::2], parts[1::2], fillvalue=b"")]
+        return parts[0].decode() if parts else ""
+
+    def _of(self, piece: str) -> tuple[int, ...]:
+        got = self.known.get(piece)
+        if got is None:
+            if len(self.known) >= CACHED:
+                self.known.clear()
+            got = tuple(self.bpe._core_bpe.encode_single_piece(piece.encode()))
+            if len(piece) <= 32:
+                self.known[piece] = got
+        return got
+
+    def _encode_leaf(self, text: str, start: int, end: int) -> Encoding:
+        pieces = self.split.findall(text, start, end)  # they cover the leaf without gaps
+        return Encoding(start, end, list(accumulate(map(len, pieces[:-1]), initial=start)), [self._of(p) for p in pieces])
+
+    def _reduce(self, text: str) -> Encoding:
         """Bottom-up over a stack of leaves: each joins while it is as large as its left neighbour."""
         stack: list[Encoding] = []
-        for a in range(start, end, self.leaf):
-            b = min(end, a + self.leaf)
-            starts, pieces, _ = self._pieces(text, a, b, None, 0)
-            first, ids = self._ids(pieces)
-            stack.append(Encoding(a, b, np.array(starts), first, ids))
+        for a in range(0, len(text), self.leaf):
+            stack.append(self._encode_leaf(text, a, min(len(text), a + self.leaf)))
             while len(stack) > 1 and stack[-2].end - stack[-2].start <= stack[-1].end - stack[-1].start:
-                right, left = stack.pop(), stack.pop()
-                stack.append(self._join(text, left, right))
+                right = stack.pop()
+                stack[-1] = self._join(text, stack[-1], right)
         while len(stack) > 1:
-            right, left = stack.pop(), stack.pop()
-            stack.append(self._join(text, left, right))
+            right = stack.pop()
+            stack[-1] = self._join(text, stack[-1], right)
         return stack[0]
 
     def _join(self, text: str, left: Encoding, right: Encoding) -> Encoding:
+        """Encodes again from the last two pretokens of the left half on, until a start of the right half is met."""
         keep = max(0, len(left.starts) - 2)
-        at = int(left.starts[keep]) if len(left.starts) else left.start
-        cut = int(left.first[keep]) if len(left.starts) else 0
-        starts, pieces, i = self._pieces(text, at, right.end, right.starts, right.start)
-        first, ids = self._ids(pieces)
-        tail = slice(i, None) if i >= 0 else slice(0, 0)
-        tail_cut = int(right.first[i]) if i >= 0 else len(right.ids)
-        kept = left.ids[:cut]
-        return Encoding(
-            left.start, right.end,
-            np.concatenate([left.starts[:keep], np.array(starts, np.int64), right.starts[tail]]).astype(np.int64),
-            np.concatenate([left.first[:keep], first + cut, right.first[tail] - tail_cut + cut + len(ids)]).astype(np.int64),
-            np.concatenate([kept, ids, right.ids[tail_cut:]]).astype(np.int64),
-        )
+        at, i = left.starts[keep], -1
+        starts, ids = left.starts[:keep], left.ids[:keep]
+        while at < right.end:
+            if at >= right.start:
+                i = bisect_left(right.starts, at)
+                if i < len(right.starts) and right.starts[i] == at:
+                    break
+            m = self.split.match(text, at, right.end)
+            starts.append(at)
+            ids.append(self._of(m.group()))
+            at = m.end()
+        else:
+            i = len(right.starts)
+        return Encoding(left.start, right.end, starts + right.starts[i:], ids + right.ids[i:])
 
 
 def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", tokenizer: str = DEFAULT_TOKENIZER, leaf: int = LEAF_CHARS) -> DataFrame:
@@ -144,8 +145,23 @@ def encode_corpus(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                 part = [encoder.encode(x) for x in texts.slice(lo, 512).to_pylist()]
                 offsets = np.zeros(len(part) + 1, np.int32)
                 np.cumsum([len(x) for x in part], out=offsets[1:])
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(part).astype(np.int32)))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.fromiter(chain.from_iterable(part), np.int32, int(offsets[-1]))))
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, 512), ids], ["id", "ids"])
 
     out = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInArrow(run, schema)
     return out.withColumnRenamed("id", id_col)
+
+
+def decode_corpus(encoded: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", tokenizer: str = DEFAULT_TOKENIZER) -> DataFrame:
+    """``id, text`` from ``id, ids``: what :func:`encode_corpus` has read; an empty or null list gives an empty text.  One narrow pass."""
+    vocabulary = read_vocabulary(tokenizer)
+    schema = T.StructType([T.StructField("id", encoded.schema[id_col].dataType), T.StructField("text", T.StringType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = TreeEncoder(vocabulary)
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                part = b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([encoder.decode(x or []) for x in part.column(1).to_pylist()], pa.string())], ["id", "text"])
+
+    return encoded.select(encoded[id_col].alias("id"), encoded[ids_col].alias("ids")).mapInArrow(run, schema).withColumnRenamed("id", id_col)

@@ -49,6 +49,8 @@ def test_corpus_table(spark):
     got = sorted((r["doc_id"], r["ids"]) for r in tokens.encode_corpus(df).collect())
     assert got[0] == (1, []) and got[1] == (2, []) and got[2] == got[3] and got[2][1] == list(ENCODERS[10**9].encode("Привет, мир!"))
     assert tokens.encode_corpus(df.limit(0)).count() == 0
+    back = {r["doc_id"]: r["text"] for r in tokens.decode_corpus(tokens.encode_corpus(df)).collect()}
+    assert back == {r["doc_id"]: r["text"] or "" for r in df.collect()}
     assert tokens.encode_corpus(df).schema["ids"].dataType.simpleString() == "array<int>"
 
 
@@ -76,9 +78,9 @@ def test_term_counts(spark):
     for t, r in got.items():
         assert (r["n_col1"], r["n_col2"], r["n_total"], r["n_rows"]) == (occ[t, 0], occ[t, 1], occ[t, 0] + occ[t, 1], seen[t])
         assert r["mark"] == ("rare" if seen[t] < 3 else "common" if seen[t] > 0.25 * len(rows) else None)
-    ids = [r["term_id"] for r in terms.dictionary(df, ["col1", "col2"]).collect()]
+    ids = [r["term_id"] for r in terms.term_counts(df, ["col1", "col2"]).collect()]
     assert sorted(ids) == list(range(len(seen)))
-    assert terms.term_counts(df.limit(0), ["col1", "col2"]).count() == 0 and terms.dictionary(df.limit(0), ["col1"]).count() == 0
+    assert terms.term_counts(df.limit(0), ["col1", "col2"]).count() == 0
 
 
 def test_words_as_read():
