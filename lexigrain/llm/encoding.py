@@ -21,10 +21,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # Encodings in which damaged text may have been read, and in which it may have been written.
-READ_AS = ("cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "mac-roman", "cp437")
+READ_AS = ("cp1252", "latin-1", "cp1250", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5", "mac-roman", "cp437")
 WRITTEN_AS = ("utf-8", "cp1251", "koi8-r", "cp866", "mac-cyrillic", "iso8859-5")
 MARGIN, LAYERS, SWITCH, LOST = 20.0, 3, 6.0, 13.0
-MIN_CHANGED = 4
+MIN_CHANGED = 4  #: characters that a reading must give, as any bytes can be read in a single-byte encoding
+STRICT_MARGIN = 12.0  #: for readings by UTF-8 alone, without loss, of words with characters of damage: sound text hardly ever decodes so
+LAYER_PRICE = 4.0  #: bits a further layer must save
 _LETTERS = "абвгдеёжзийклмнопрстуфхцчшщъыьэюя"
 # Everyday words, the prior of the pair model for small collections.
 _PRIOR = (
@@ -101,6 +103,12 @@ class PairModel:
             price[:, c] += bits
         for c, bits in FIXED_PRICE.items():
             price[:, c] = bits
+        # accented letters are letters beside Latin ones
+        price[ACCENT, :ACCENT] = price[LAT_L, :ACCENT]
+        price[[LAT_L, LAT_U], ACCENT] = 7.0
+        price[ACCENT, SPACE] = 4.0
+        price[[LAT_L, LAT_U], TYPO] = np.minimum(price[[LAT_L, LAT_U], TYPO], 8.0)
+        price[TYPO, [LAT_L, LAT_U]] = np.minimum(price[TYPO, [LAT_L, LAT_U]], 8.0)
         self.price = price.reshape(-1)
 
     def words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -156,8 +164,19 @@ def round_trip(words: list[str], read_as: str, written_as: str) -> list[str | No
 STEPS = tuple((e, d) for e in READ_AS for d in WRITTEN_AS if e != d)
 
 
+_MIXED = re.compile(r"[A-Za-z\u00c0-\u024f][\u0400-\u052f]|[\u0400-\u052f][A-Za-z\u00c0-\u024f]")
+
+
+def _strict(chain: tuple, text: str) -> bool:
+    return "\ufffd" not in text and all(d == "utf-8" for _, d in chain)
+
+
 def readings(model: PairModel, words: list[str], layers: int = LAYERS) -> list[dict[tuple, tuple[float, str]]]:
-    """For each word the readings under every chain of round trips that makes it cheaper: chain -> (price, text)."""
+    """For each word the readings under every chain of round trips that makes it cheaper: chain -> (price, text).
+
+    A reading with Latin beside Cyrillic letters in a word is none, unless it is
+    a strict one of a single layer.
+    """
     best: list[dict[tuple, tuple[float, str]]] = [{} for _ in words]
     price = model.words(words)[0]
     level: dict[tuple, tuple[list[int], list[str], np.ndarray]] = {(): (list(range(len(words))), words, price)}
@@ -174,8 +193,9 @@ def readings(model: PairModel, words: list[str], layers: int = LAYERS) -> list[d
                 kept = []
                 for k, j in enumerate(i):
                     w = at[j]
-                    if after[k] < price[w] - 2.0:
-                        best[w][(*chain, step)] = (float(after[k]), made[k])
+                    paid = float(after[k]) + LAYER_PRICE * len(chain)
+                    if paid < price[w] - 2.0 and not (_MIXED.search(made[k]) and (chain or not _strict((step,), made[k]))):
+                        best[w][(*chain, step)] = (paid, made[k])
                     # another layer below: still strange and no dearer than it was
                     if weird[k] and step[1] == "utf-8" and "�" not in made[k] and after[k] < before[j]:
                         kept.append(k)
@@ -187,8 +207,11 @@ def readings(model: PairModel, words: list[str], layers: int = LAYERS) -> list[d
     return best
 
 
-def _segments(price: np.ndarray, free: list[bool], options: list[dict], margin: float) -> list[tuple[int, int, tuple]]:
-    """Stretches of words (first, past last, chain) in which one chain makes the text cheaper by ``margin``."""
+def _segments(price: np.ndarray, odd: np.ndarray, free: list[bool], options: list[dict], margin: float) -> list[tuple[int, int, tuple]]:
+    """Stretches of words (first, past last, chain) in which one chain makes the text cheaper by ``margin``.
+
+    Less is asked of strict readings of words that show characters of damage.
+    """
     chains = sorted({c for o in options for c in o}, key=lambda c: (len(c), c))
     found: list[tuple[float, int, int, tuple]] = []
     for chain in chains:
@@ -199,7 +222,9 @@ def _segments(price: np.ndarray, free: list[bool], options: list[dict], margin:
             if i < len(price):
                 gain = price[i] - options[i][chain][0] if chain in options[i] else (0.0 if free[i] else -SWITCH)
             if start is not None and (gain is None or run + gain <= 0 or run + gain < peak - 3 * SWITCH):
-                if peak >= margin:
+                changed = [k for k in range(start, end) if chain in options[k]]
+                strict = all(odd[k] and _strict(chain, options[k][chain][1]) for k in changed)
+                if peak >= (min(margin, STRICT_MARGIN) if strict else margin) and (strict or sum(len(options[k][chain][1]) for k in changed) >= MIN_CHANGED):
                     found.append((peak, start, end, chain))
                 start = None
             if gain is not None and start is None and chain in options[i]:
@@ -227,7 +252,7 @@ def repair_batch(model: PairModel, values: list[str | None], margin: float = MAR
     hit = list(range(len(rows)))
     spans = [[m.span() for m in _WORD.finditer(values[r])] for r in rows]
     words = [values[r][a:b] for r, s in zip(rows, spans) for a, b in s]
-    price = model.words(words)[0]
+    price, _, odd = model.words(words)
     offsets = np.cumsum([0] + [len(s) for s in spans])
     chosen = [j for i in hit for j in range(offsets[i], offsets[i + 1]) if not words[j].isascii()]
     unique = sorted({words[j] for j in chosen})
@@ -237,10 +262,8 @@ def repair_batch(model: PairModel, values: list[str | None], margin: float = MAR
         lo, hi = offsets[i], offsets[i + 1]
         options = [table.get(w, {}) for w in words[lo:hi]]
         text, at, saved, how = [], 0, 0.0, []
-        for a, b, chain in _segments(price[lo:hi], [w.isascii() for w in words[lo:hi]], options, margin):
+        for a, b, chain in _segments(price[lo:hi], odd[lo:hi], [w.isascii() for w in words[lo:hi]], options, margin):
             changed = [k for k in range(a, b) if chain in options[k]]
-            if sum(len(options[k][chain][1]) for k in changed) < MIN_CHANGED:
-                continue
             how.append(" > ".join(f"{e}:{d}" for e, d in chain))
             for k in changed:
                 x, y = spans[i][k]
@@ -249,8 +272,7 @@ def repair_batch(model: PairModel, values: list[str | None], margin: float = MAR
                 saved += price[lo + k] - options[k][chain][0]
         if how:
             repaired = "".join([*text, value[at:]])
-            left = model.words(_WORD.findall(repaired))
-            out[rows[i]] = (repaired, "�" not in repaired and not left[2].any(), list(dict.fromkeys(how)), round(float(saved), 3))
+            out[rows[i]] = (repaired, "�" not in repaired, list(dict.fromkeys(how)), round(float(saved), 3))
     return out
 
 
@@ -295,7 +317,7 @@ def garbled(df: DataFrame, fields: Sequence[str], id_col: str = "row_id", margin
     """``id, field, text, repaired, restored, round_trips, bits_saved`` of every damaged value.
 
     ``repaired`` holds U+FFFD where bytes were lost; ``restored`` tells whether
-    nothing strange is left.  Null, empty and sound values have no row; repeated
+    every byte could be decoded.  Null, empty and sound values have no row; repeated
     rows are treated each; an empty table gives an empty result.  Two narrow
     passes over the fields: the pair model, then the repair.
     """
