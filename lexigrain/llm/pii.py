@@ -3,9 +3,11 @@
 Detection works on a reading of the text in which invisible characters are gone
 and spaces, dashes and digits are plain; offsets lead back to the text as it is.
 Each entity has a key, the same for all its spellings, so that placeholders and
-surrogates keep coreference.  Surrogates come from keyed hashing and match the
-kind, script, case, gender and format of what they replace; two entities that
-get the same surrogate are told apart by further attempts.
+surrogates keep coreference.  Surrogates match the kind, script, grammatical
+case, gender and format of what they replace.  Numbers go through a keyed
+permutation of their digits, so different ones stay different; words come from
+keyed hashing, and those that different entities of a document or collection
+would share get a further syllable each.
 """
 
 from __future__ import annotations
@@ -15,13 +17,17 @@ import hmac
 import re
 from bisect import bisect_left
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
+from itertools import count
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import materialise
+from .people import analyse, given_forms, surname_form
+
 KINDS = ("email", "phone", "id_number", "address", "name")
 
 # Common given names.  Other spellings follow by rule (below).
@@ -76,8 +82,7 @@ def _given_names() -> dict[str, str]:
             for c in _cases(n):
                 out.setdefault(c.replace("ё", "е"), g)
         for n in names:
-            spelt = latin(n)
-            for v in {spelt, spelt.replace("yo", "e"), spelt.replace("iy", "y"), spelt.replace("iya", "ia"), spelt.replace("ya", "ia"), spelt.replace("yu", "iu"), spelt.replace("ks", "x"), spelt.replace("y", "i")}:
+            for v in _latin_spellings(n):
                 if len(v) > 2:
                     out.setdefault(v, g)
     for n in GIVEN_EN:
@@ -85,7 +90,27 @@ def _given_names() -> dict[str, str]:
     return out
 
 
+def _given_readings() -> dict[str, list[tuple[str, str, int]]]:
+    """Spelling (folded) -> (lemma, gender, case); Latin spellings of Cyrillic names have their lemma."""
+    out: dict[str, list[tuple[str, str, int]]] = {}
+    for g, names in (("f", GIVEN_RU_F), ("m", GIVEN_RU_M)):
+        for n in (x.replace("ё", "е") for x in names):
+            for case, form in enumerate(given_forms(n)):
+                out.setdefault(form, []).append((n, g, case))
+    for g, names in (("f", GIVEN_RU_F), ("m", GIVEN_RU_M)):
+        for n in (x.replace("ё", "е") for x in names):
+            for v in _latin_spellings(n):
+                out.setdefault(v, []).append((n, g, 0))
+    return out
+
+
+def _latin_spellings(name: str) -> set[str]:
+    spelt = latin(name)
+    return {spelt, spelt.replace("yo", "e"), spelt.replace("iy", "y"), spelt.replace("iya", "ia"), spelt.replace("ya", "ia"), spelt.replace("yu", "iu"), spelt.replace("ks", "x"), spelt.replace("y", "i")}
+
+
 GIVEN = _given_names()
+GIVEN_READINGS = _given_readings()
 _GIVEN_SET = frozenset(GIVEN)
 
 _INVISIBLE = re.compile("[\u00ad\u034f\u061c\u115f\u1160\u17b4\u17b5\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]")
@@ -331,7 +356,7 @@ def _addresses(s: str, low: str) -> Iterator[tuple[int, int, str]]:
 
 # --- names ----------------------------------------------------------------------
 _TOKEN = re.compile(r"[^\W\d_]+(?:[-'’][^\W\d_]+)*")
-_SURNAME_RU = re.compile(r"(?:[оеё]в|[иы]н|[сц]к(?:ий|ой)|ич|[уюя]к|енко|ко|ян|дзе|швили|ых|их|юк|[аяе]ц|ой|ый)(?:а|у|ым|ом|е|ой|ая|ую|ого|ому|ем|я|ю|ы)?\Z|(?:[сц]кая|[сц]кой)\Z")
+_SURNAME_RU = re.compile(r"(?:[оеё]в|[иы]н|[сц]к(?:ий|ой)|ич|[уюя]к|енко|ко|ян|дзе|швили|ых|их|юк|[аяе]ц|ой|ый)(?:а|у|ым|ом|е|ой|ая|ую|ого|ому|ем|я|ю|ы)?\Z|[сц]к(?:ая|ую|ого|ому|им|ом)\Z")
 _INITIAL_PAIR = re.compile(r"[А-ЯЁA-Z]\.\s?[А-ЯЁA-Z]\.")
 _WORD_BEFORE = re.compile(r"([^\W\d_][\w'\-]+)[ ,]{1,2}\Z")
 _WORD_AFTER = re.compile(r"\s?([А-ЯЁA-Z][\w'\-]+)")
@@ -459,15 +484,32 @@ def _around(s: str, tokens: list[tuple[int, int, str]], i: int) -> tuple[int, in
     return None
 
 
-def name_key(text: str) -> str:
-    """Surname and first initial, in one script: the same for all spellings of a person in a document."""
-    words = [w for w in _TOKEN.findall(text)]
+def _parts(text: str) -> tuple[str | None, list[str], str]:
+    """Given name as spelt, initials, and surname of a name."""
+    words = _TOKEN.findall(text)
     given = next((w for w in words if _fold(w) in GIVEN), None)
-    initials = [w for w in words if len(w) == 1]
     rest = [w for w in words if w is not given and len(w) > 1 and not _PATRONYMIC.search(_fold(w)) and not _TITLE.match(w)]
-    surname = _fold(max(rest, key=len)) if rest else ""
-    first = _fold(given)[0] if given else _fold(initials[0]) if initials else ""
-    return f"{latin(surname)} {latin(first)[:1]}"
+    if given is None and len(rest) > 1:  # introduced, with a given name that no list has: it stands first, but before a comma
+        given, rest = (rest[1], rest[:1]) if "," in text else (rest[0], rest[1:])
+    return given, [w for w in words if len(w) == 1], max(rest, key=len) if rest else ""
+
+
+def name_key(text: str) -> str:
+    """Lemmas of surname and given name in Latin letters; of a name with initials the surname and ``<first initial>.``"""
+    given, initials, surname = _parts(text)
+    p = analyse(_fold(given) if given else None, _fold(initials[0]) if initials else "", _fold(surname), GIVEN_READINGS)
+    first = latin(p.given) if p.given else latin(p.initial)[:1] + "."
+    return f"{latin(p.surname)} {first}"
+
+
+def _one_person(entities: list[Entity]) -> list[Entity]:
+    """Names with initials take the key of the only full name of the document that they fit."""
+    full: dict[str, set[str]] = {}
+    for e in entities:
+        if e.kind == "name" and not e.key.endswith("."):
+            surname, given = e.key.split(" ", 1)
+            full.setdefault(f"{surname} {given[:1]}.", set()).add(e.key)
+    return [replace(e, key=next(iter(full[e.key]))) if e.kind == "name" and len(full.get(e.key, ())) == 1 else e for e in entities]
 
 
 def find(text: str | None) -> list[Entity]:
@@ -499,26 +541,43 @@ def find(text: str | None) -> list[Entity]:
             add(kind, a, b, key)
     for a, b, key in _names(s, low):
         add("name", a, b, key)
-    return sorted(out, key=lambda e: e.start)
+    return _one_person(sorted(out, key=lambda e: e.start))
 
 
 # --- replacement ----------------------------------------------------------------
-ATTEMPTS = 16
 _SYLLABLES = {"cyr": ("бвгдзклмнпрст", "аоуеи"), "lat": ("bdfgklmnprstv", "aouei")}
+SYLLABLES = 3  #: of a made-up word, before any that tell clashing ones apart
+ROUNDS = 8
 
 
-def identity(secret: bytes, kind: str, key: str, attempt: int = 0) -> int:
-    """The 64-bit number a surrogate is made from: keyed, so it cannot be traced back without the secret."""
-    return int.from_bytes(hmac.new(secret, f"{kind}\0{key}\0{attempt}".encode(), hashlib.sha256).digest()[:8], "big")
+def identity(secret: bytes, kind: str, key: str) -> int:
+    """The 128-bit number a surrogate is made from: keyed, so it cannot be traced back without the secret."""
+    return int.from_bytes(hmac.new(secret, f"{kind}\0{key}".encode(), hashlib.sha256).digest()[:16], "big")
 
 
-def _word(n: int, script: str, syllables: int = 3) -> str:
+def permuted(secret: bytes, kind: str, digits: str) -> str:
+    """Other digits of the same number, by a keyed permutation (a Feistel network): different digits stay different."""
+    m = len(digits)
+    u = m // 2
+    a, b, sizes = int(digits[:u] or 0), int(digits[u:] or 0), (10**u, 10 ** (m - u))
+    for i in range(ROUNDS):
+        if i % 2:
+            b = (b + identity(secret, f"{kind}{m}.{i}", str(a))) % sizes[1]
+        else:
+            a = (a + identity(secret, f"{kind}{m}.{i}", str(b))) % sizes[0]
+    return (f"{a:0{u}d}" if u else "") + f"{b:0{m - u}d}"
+
+
+def _word(n: int, script: str, syllables: int, rank: int = 0) -> str:
+    """A made-up word; ``rank`` adds syllables that tell words of one number apart."""
     c, v = _SYLLABLES[script]
-    out = ""
+    out, size = "", len(c) * len(v)
     for _ in range(syllables):
-        n, i = divmod(n, len(c))
-        n, j = divmod(n, len(v))
-        out += c[i] + v[j]
+        n, i = divmod(n, size)
+        out += c[i % len(c)] + v[i // len(c)]
+    while rank:
+        rank, i = divmod(rank - 1, size)
+        out += c[i % len(c)] + v[i // len(c)]
     return out
 
 
@@ -526,64 +585,91 @@ def _as(like: str, word: str) -> str:
     return word.upper() if like.isupper() and len(like) > 1 else word.capitalize() if like[:1].isupper() else word
 
 
-def _digits(like: str, n: int, keep: int = 0) -> str:
-    out, seen = [], 0
-    for c in like:
-        if c.isdigit() or c.isascii() and c.isalpha() and any(x.isdigit() for x in like):
-            if seen >= keep:
-                n, d = divmod(n, 26 if c.isalpha() else 10)
-                c = str(d) if c.isdigit() else _as(c, chr(97 + d))
-            seen += 1
+def _number(e: Entity, secret: bytes, keep: int) -> str:
+    """The text with its digits permuted but for the first ``keep``, and its letters shifted."""
+    digits = re.sub("[^0-9]", "", e.text)
+    new = iter(digits[:keep] + permuted(secret, e.kind, digits[keep:]))
+    shift, out = identity(secret, e.kind, "letters"), []
+    for c in e.text:
+        if c.isdigit():
+            c = next(new)
+        elif c.isascii() and c.isalpha():
+            shift, s = divmod(shift, 26)
+            c = _as(c, chr(97 + (ord(c.lower()) - 97 + 1 + s % 25) % 26))
         out.append(c)
     return "".join(out)
 
 
-_NAME_END = re.compile(r"(ск(?:ий|ая|ого|ой|ую|ому|им)|[оеи]в(?:а|у|ым|ой|е)?|ин(?:а|у|ым|ой|е)?|ич(?:а|у|ем)?|[ую]к(?:а|у|ом)?|енко|skiy|skaya|ova|eva|ina|ov|ev|in|ich|uk|enko|ton|by|wick|sen|mar|ley|ford)\Z")
+def _name(e: Entity, n: int, syllables: int, rank: int) -> str:
+    """Another name in the form of this one: same gender, case, order, initials and upper case."""
+    given, initials, surname = _parts(e.text)
+    p = analyse(_fold(given) if given else None, _fold(initials[0]) if initials else "", _fold(surname), GIVEN_READINGS)
+    pool_ru, pool_en = GIVEN_RU_F if p.gender == "f" else GIVEN_RU_M, [x for x in GIVEN_EN if GIVEN.get(x) == ("f" if p.gender == "f" else "m")]
+    name = (n >> 64) % (1 << 30)
+    russian = pool_ru[name % len(pool_ru)].replace("ё", "е")
+    out, at = "", 0
+    for m in _TOKEN.finditer(e.text):
+        w = m.group()
+        f = _fold(w)
+        cyr = bool(re.search("[а-я]", f))
+        if len(f) == 1:  # the first initial is that of the given name, whether it is spelt out or not
+            new = (russian if cyr else latin(russian))[0] if initials and w == initials[0] else _SYLLABLES["cyr" if cyr else "lat"][0][(n >> 100) % 13]
+        elif given is not None and w == given:
+            known_ru = any(x[0] == p.given for x in GIVEN_READINGS.get(f, ()))
+            new = given_forms(russian)[p.case] if cyr else latin(russian) if known_ru else pool_en[name % len(pool_en)]
+        elif _PATRONYMIC.search(f):
+            stem = GIVEN_RU_M[(n >> 40) % len(GIVEN_RU_M)].replace("ё", "е").rstrip("ьйая")
+            new = stem + ("овн" + ("а", "ы", "е", "у", "ой", "е")[p.case] if p.gender == "f" else "ович" + ("", "а", "у", "а", "ем", "е")[p.case])
+            new = new if cyr else latin(new)
+        elif _TITLE.match(w):
+            new = w
+        elif cyr:
+            word = _word(n, "cyr", syllables, rank)
+            new = surname_form(word + {"ov": "нов", "sky": "нский", "noun": "нич"}.get(p.kind, "нко"), p.kind, p.gender, p.case)
+        else:
+            end = _LATIN_END.search(f)
+            new = latin(_word(n, "cyr", syllables, rank)) + ("n" + end.group() if end else "")
+        out, at = out + e.text[at : m.start()] + _as(w, new), m.end()
+    return out + e.text[at:]
 
 
-def surrogate(e: Entity, n: int) -> str:
-    """What stands in for ``e``: same kind, script, case, gender and format, made from the number ``n``."""
+_LATIN_END = re.compile(r"(?:skiy|sky|skaya|ova|eva|ina|ov|ev|in|ich|uk|enko|ton|by|wick|sen|mar|ley|ford)\Z")
+_HOUSE_WORD = re.compile(r"дом\w?|корп\w*|квартира|офис|подъезд|street|road|avenue|lane|drive|close|court|square|terrace|boulevard|crescent|gardens|grove|flat|house|\w{1,3}")
+
+
+def surrogate(e: Entity, secret: bytes, syllables: int = SYLLABLES, rank: int = 0) -> str:
+    """What stands in for ``e``: same kind, script, case, gender and format.
+
+    Made from the key, so spellings of one entity agree.  ``rank`` tells apart
+    entities whose words would be the same.
+    """
     if e.kind == "phone":
-        d = re.sub(r"\D", "", e.text)
-        return _digits(e.text, n, keep=len(d) - 9 if len(d) > 9 else 0)
+        return _number(e, secret, max(0, len(re.sub("[^0-9]", "", e.text)) - 9))
     if e.kind == "id_number":
-        return _digits(e.text, n)
+        return _number(e, secret, 0)
+    n = identity(secret, e.kind, e.key)
+    if e.kind == "name":
+        return _name(e, n, syllables, rank)
     if e.kind == "email":
         script = "cyr" if re.search("[а-яё]", e.text, re.I) else "lat"
         words = re.findall(r"[^\W_]+", e.text)
-        local = len(re.findall(r"[^\W_]+", _AT.split(e.text)[0])) if _AT.search(e.text) else 1
         signs = {"at", "dot", "собака", "собачка", "точка", "эт", "гав"}
         out, at, k = "", 0, 0
         for m in re.finditer(r"[^\W_]+", e.text):
             w, k = m.group(), k + 1
             if w.lower() not in signs and k < len(words):
-                w = _as(w, _word(n >> (7 * k), script, 4 if k == 1 else 3) if not w.isdigit() else _digits(w, n >> k))
+                w = _as(w, _word(n >> (16 * k), script, syllables, rank if k == 1 else 0))
             out, at = out + e.text[at : m.start()] + w, m.end()
-        return out + e.text[at:] if local else out
-    out, at = "", 0
-    for m in _TOKEN.finditer(e.text) if e.kind == "name" else re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+", e.text):
+        return out + e.text[at:]
+    out, at, first = "", 0, True
+    for m in re.finditer(r"[^\W\d_]+(?:-[^\W\d_]+)*|\d+", e.text):
         w = m.group()
         f = _fold(w)
-        script = "cyr" if re.search("[а-яё]", f) else "lat"
-        if e.kind == "address":
-            new = str(1 + n % 199) if w.isdigit() else w
-            if len(f) > 3 and not w.isdigit() and not re.fullmatch(_STREET, f) and not re.fullmatch(r"дом\w?|корп\w*|квартира|офис|подъезд|street|road|avenue|lane|drive|close|court|square|terrace|boulevard|crescent|gardens|grove|flat|house", f):
-                end = re.search(r"(?:ая|ой|ую|ый|ий|ом|ем|а|ого)\Z", f)
-                new = _as(w, _word(n >> 8, script) + ("н" + end.group() if end else ""))
-        elif len(f) == 1:
-            new = _as(w, _word(n >> 3, script, 1)[0])
-        elif f in GIVEN:
-            pool = [x for x in (GIVEN_RU_F if GIVEN[f] == "f" else GIVEN_RU_M)] if script == "cyr" else [x for x in GIVEN_EN if GIVEN.get(x) == GIVEN[f]]
-            new = _as(w, pool[(n >> 3) % len(pool)])
-        elif _PATRONYMIC.search(f):
-            stem = GIVEN_RU_M[(n >> 5) % len(GIVEN_RU_M)].rstrip("ьйая")
-            new = stem + ("овна" if f.rstrip("аыеуой")[-1:] == "н" or f.endswith("ichna") else "ович")
-            new = _as(w, new if script == "cyr" else latin(new))
-        elif _TITLE.match(w):
-            new = w
-        else:
-            end = _NAME_END.search(f)
-            new = _as(w, _word(n, script) + (end.group() if end else ""))
+        new = str(1 + n % 199) if w.isdigit() else w
+        if not w.isdigit() and not re.fullmatch(_STREET, f) and not _HOUSE_WORD.fullmatch(f):
+            end = re.search(r"(?:ая|ой|ую|ый|ий|ом|ем|а|ого)\Z", f)
+            new = _as(w, _word(n >> 8, "cyr" if re.search("[а-яё]", f) else "lat", syllables, rank if first else 0) + ("н" + end.group() if end else ""))
+            first = False
         out, at = out + e.text[at : m.start()] + new, m.end()
     return out + e.text[at:]
 
@@ -601,21 +687,33 @@ def placeholders(entities: list[Entity]) -> list[str]:
     return out
 
 
-def surrogates(entities: list[Entity], secret: bytes) -> list[str]:
-    """A surrogate for each entity of a document; different keys of a kind never share one."""
-    number: dict[tuple[str, str], int] = {}
-    shown: dict[tuple[str, str], str] = {}
-    out = []
+Ranks = dict[tuple[str, str], int]
+
+
+def canonical(e: Entity, secret: bytes, syllables: int = SYLLABLES, rank: int = 0) -> str:
+    """What two entities must not share, whatever case or format they are spelt in: the words, or the digits, of the surrogate."""
+    if e.kind in ("phone", "id_number"):
+        return "".join(c for c in surrogate(e, secret).upper() if c.isalnum())[-9 if e.kind == "phone" else 0 :]
+    n = identity(secret, e.kind, e.key)
+    return f"{_word(n >> {'name': 0, 'address': 8, 'email': 16}[e.kind], 'lat', syllables, rank)} {n % 199 if e.kind == 'address' else ''}".strip()
+
+
+def surrogates(entities: list[Entity], secret: bytes, ranks: Ranks | None = None, syllables: int = SYLLABLES) -> list[str]:
+    """A surrogate for each entity of a document; different keys of a kind never share their words.
+
+    ``ranks`` tells those of a whole collection apart (:func:`clashes`); others
+    of the document are told apart here, with as many attempts as it takes.
+    """
+    ranks, taken, own, out = ranks or {}, {}, {}, []
     for e in entities:
-        own = (e.kind, e.key)
-        for attempt in range(ATTEMPTS):
-            n = number.get(own) or identity(secret, *own, attempt)
-            text = surrogate(e, n)
-            if own in number or shown.get((e.kind, text), e.key) == e.key and text != e.text:
-                break
-        number[own] = n
-        shown.setdefault((e.kind, text), e.key)
-        out.append(text)
+        key = (e.kind, e.key)
+        if key not in own:
+            for rank in count(ranks.get(key, 0)):
+                shown = (e.kind, canonical(e, secret, syllables, rank))
+                if e.kind in ("phone", "id_number") or taken.setdefault(shown, e.key) == e.key:
+                    break
+            own[key] = rank
+        out.append(surrogate(e, secret, syllables, own[key]))
     return out
 
 
@@ -630,33 +728,35 @@ def rewrite(text: str | None, entities: list[Entity], new: list[str]) -> str | N
     return "".join([*out, text[at:]])
 
 
-DEFAULT_SECRET = "lexigrain"
+def _entities(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text"))
 
 
-def replacements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str = DEFAULT_SECRET) -> DataFrame:
-    """``id, kind, start, end, text, key, placeholder, surrogate``: one row for each entity of each row.
+def replacements(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str | None = None, ranks: Ranks | None = None, syllables: int = SYLLABLES) -> DataFrame:
+    """``id, kind, start, end, text, key, placeholder, surrogate, words``: one row for each entity of each row.
 
-    Offsets count characters of the text as given.  Null and empty texts have no
-    rows; repeated rows are treated each; an empty table gives an empty result.
-    One narrow pass over two columns, no shuffle.
+    Offsets count characters of the text as given.  ``surrogate`` and ``words``
+    (what different entities must not share) are null without a ``secret``.  Null
+    and empty texts have no rows; repeated rows are treated each; an empty table
+    gives an empty result.  One narrow pass over two columns, no shuffle.
     """
-    id_type = df.schema[id_col].dataType
-    schema = T.StructType([T.StructField("id", id_type), *T.StructType.fromDDL("kind string, start int, end int, text string, key string, placeholder string, surrogate string").fields])
-    key = secret.encode()
+    schema = T.StructType([T.StructField("id", df.schema[id_col].dataType), *T.StructType.fromDDL("kind string, start int, end int, text string, key string, placeholder string, surrogate string, words string").fields])
+    key = None if secret is None else secret.encode()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = []
             for i, text in zip(b["id"], b["text"]):
                 if es := find(text):
-                    rows += [(i, e.kind, e.start, e.end, e.text, e.key, p, x) for e, p, x in zip(es, placeholders(es), surrogates(es, key))]
+                    new = [None] * len(es) if key is None else surrogates(es, key, ranks, syllables)
+                    words = [None if key is None else canonical(e, key, syllables, (ranks or {}).get((e.kind, e.key), 0)) for e in es]
+                    rows += [(i, e.kind, e.start, e.end, e.text, e.key, p, x, w) for e, p, x, w in zip(es, placeholders(es), new, words)]
             yield pd.DataFrame(rows, columns=schema.names)
 
-    out = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInPandas(run, schema)
-    return out.withColumnRenamed("id", id_col)
+    return _entities(df, id_col, text_col).mapInPandas(run, schema).withColumnRenamed("id", id_col)
 
 
-def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str | None = None) -> DataFrame:
+def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret: str | None = None, ranks: Ranks | None = None, syllables: int = SYLLABLES) -> DataFrame:
     """``id, masked, n_found`` for every row: typed placeholders, or surrogates where ``secret`` is given.
 
     Null stays null and empty stays empty, with ``n_found`` 0.
@@ -666,17 +766,45 @@ def masked(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", secret
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             found = [find(t) for t in b["text"]]
-            new = [surrogates(es, secret.encode()) if secret is not None else placeholders(es) for es in found]
+            new = [placeholders(es) if secret is None else surrogates(es, secret.encode(), ranks, syllables) for es in found]
             yield pd.DataFrame({"id": b["id"], "masked": [rewrite(t, es, x) for t, es, x in zip(b["text"], found, new)], "n_found": pd.Series([len(x) for x in found], dtype="int32")})
 
-    out = df.select(df[id_col].alias("id"), df[text_col].cast("string").alias("text")).mapInPandas(run, schema)
-    return out.withColumnRenamed("id", id_col)
+    return _entities(df, id_col, text_col).mapInPandas(run, schema).withColumnRenamed("id", id_col)
+
+
+MAX_CLASHES = 100_000  #: entities with a rank; with more, all words get a syllable more
+
+
+def clashes(df: DataFrame, secret: str, id_col: str = "doc_id", text_col: str = "text") -> tuple[Ranks, int]:
+    """(ranks, syllables) under which no two entities of the collection share a surrogate's words.
+
+    Entities are reduced to distinct keys and grouped by their words; the keys of
+    a group are ranked by a keyed order.  A ranked word is longer than all
+    unranked ones, and begins with its group's, so ranks clash with nothing.
+    """
+    entities = materialise(replacements(df, id_col, text_col, secret).select("kind", "key").distinct())
+    for syllables in count(SYLLABLES):
+
+        def word(batches: Iterator[pd.DataFrame], syllables=syllables) -> Iterator[pd.DataFrame]:
+            for b in batches:
+                yield b.assign(words=[canonical(Entity(k, 0, 0, x, x), secret.encode(), syllables) for k, x in zip(b["kind"], b["key"])])
+
+        # numbers are permuted and cannot clash
+        worded = entities.where("kind NOT IN ('phone', 'id_number')").mapInPandas(word, "kind string, key string, words string")
+        order = F.sha2(F.concat(F.lit(secret), "key"), 256)
+        shared = worded.groupBy("kind", "words").agg(F.count("*").alias("n")).where("n > 1").select("kind", "words")
+        place = F.row_number().over(Window.partitionBy("kind", "words").orderBy(order, "key")) - 1
+        got = worded.join(shared, ["kind", "words"]).withColumn("rank", place).where("rank > 0").select("kind", "key", "rank").limit(MAX_CLASHES + 1).collect()
+        if len(got) <= MAX_CLASHES:
+            return {(r["kind"], r["key"]): r["rank"] for r in got}, syllables
 
 
 def collisions(found: DataFrame) -> DataFrame:
-    """``kind, surrogate, n_keys``: surrogates that stand for several people or numbers in the whole collection.
+    """``kind, words, n_keys``: words of surrogates that stand for several people or places in the whole collection.
 
-    ``found`` comes from :func:`replacements`.  Entities are reduced to distinct
-    keys before the surrogates are grouped, so frequent ones cost nothing.
+    ``found`` comes from :func:`replacements` with a secret.  Entities are reduced
+    to distinct keys before they are grouped, so frequent ones cost nothing.
+    Numbers are permuted and cannot collide.
     """
-    return found.select("kind", "key", "surrogate").distinct().groupBy("kind", "surrogate").agg(F.count("*").alias("n_keys")).where("n_keys > 1")
+    words = found.where("kind NOT IN ('phone', 'id_number')").select("kind", "key", "words")
+    return words.distinct().groupBy("kind", "words").agg(F.count("*").alias("n_keys")).where("n_keys > 1")

@@ -92,12 +92,20 @@ def p8_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.masked(_read(spark, sf_dir, "documents"))
 
 
+SECRET = "of the test tables, not for use"
+
+
 def p8_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.masked(_read(spark, sf_dir, "documents"), secret=pii.DEFAULT_SECRET)
+    docs = _read(spark, sf_dir, "documents")
+    ranks, syllables = pii.clashes(docs, SECRET)
+    return pii.masked(docs, secret=SECRET, ranks=ranks, syllables=syllables)
 
 
 def p8_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.collisions(p8_replacements(spark, sf_dir))
+    """Surrogates that stand for several entities after clashes are resolved: none."""
+    docs = _read(spark, sf_dir, "documents")
+    ranks, syllables = pii.clashes(docs, SECRET)
+    return pii.collisions(pii.replacements(docs, secret=SECRET, ranks=ranks, syllables=syllables))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

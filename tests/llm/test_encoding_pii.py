@@ -101,7 +101,7 @@ def test_table(spark):
     m = {(r["doc_id"], r["masked"]) for r in pii.masked(df).where("doc_id < 5").collect()}
     assert m == {(1, "Тел. [PHONE_1]"), (2, None), (3, ""), (4, "ничего")}
     assert pii.masked(df.limit(0)).count() == 0 and pii.replacements(df.limit(0)).count() == 0
-    assert pii.collisions(got).count() == 0
+    assert pii.collisions(pii.replacements(df, secret="s")).count() == 0 and {r["surrogate"] for r in got.collect()} == {None}
     assert pii.masked(df, secret="s").where("doc_id = 1").first()["masked"] != "Тел. 970 309-53-16"
 
 
@@ -118,3 +118,63 @@ def test_one_initial_at_the_start_of_a_sentence(text, name):
 @pytest.mark.parametrize("text", ["Доставка нужна. Г. Саров", "Number AB 12 34 56 C. Received yesterday", "Живу на ул. К. Марков"])
 def test_no_name_after_one_capital(text):
     assert not [e for e in pii.find(text) if e.kind == "name"]
+
+
+def test_a_person_keeps_one_key_in_all_cases_and_scripts():
+    forms = ["Иван Петров", "Ивана Петрова", "Ивану Петрову", "Иваном Петровым", "Петрова Ивана", "Ivan Petrov"]
+    assert {pii.name_key(x) for x in forms} == {"petrov ivan"}
+    assert {pii.name_key(x) for x in ("Мария Высоцкая", "Марии Высоцкой", "Марию Высоцкую")} == {"vysotskiy mariya"}
+    assert len({pii.name_key(x) for x in ("Иван Петров", "Игорь Петров", "Анна Петрова", "Алла Петрова")}) == 4
+    assert pii.name_key("Anna Smith") != pii.name_key("Andrew Smith")
+
+
+def test_initials_join_a_full_name_only_where_one_fits():
+    one = pii.find("Звонил Иван Петров. И. Петров уехал")
+    assert [e.key for e in one] == ["petrov ivan"] * 2
+    two = pii.find("Звонил Иван Петров и Игорь Петров. Потом Петров И. А. уехал")
+    assert [e.key for e in two] == ["petrov ivan", "petrov igor", "petrov i."]
+
+
+def test_surrogates_agree_in_case_and_gender():
+    es = pii.find("Жалоба Ивана Петрова. Иван Петров доволен. Помогли Ивану Петрову. Анне Петровой тоже")
+    a, b, c, d = pii.surrogates(es, b"key")
+    stem = b.split()[1]
+    assert stem.endswith("ов") and a.split()[1] == stem + "а" and c.split()[1] == stem + "у" and d.split()[1].endswith("овой")
+    assert a.split()[0] != b.split()[0] != c.split()[0]
+    assert d.split()[1][:6] != stem[:6]
+
+
+def test_different_numbers_stay_different():
+    for m in (1, 2, 3, 4):
+        assert len({pii.permuted(b"k", "phone", f"{i:0{m}d}") for i in range(10**m)}) == 10**m
+    assert pii.permuted(b"k", "phone", "912345678") != pii.permuted(b"other", "phone", "912345678")
+
+
+def test_clashes_of_a_collection_are_resolved(spark, monkeypatch):
+    given = [x.capitalize() for x in pii.GIVEN_RU_M[:60]]
+    rows = [(i, f"Пишет {given[i % 60]} {'Кротов' if i < 60 else 'Лугов'}.") for i in range(120)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    monkeypatch.setattr(pii, "SYLLABLES", 1)  # 65 words for 120 people
+    assert pii.collisions(pii.replacements(df, secret="s", syllables=1)).count() > 0
+    ranks, syllables = pii.clashes(df, "s")
+    assert ranks and syllables == 1
+    assert pii.collisions(pii.replacements(df, secret="s", ranks=ranks, syllables=syllables)).count() == 0
+    masked = [r["masked"].split()[2] for r in pii.masked(df, secret="s", ranks=ranks, syllables=syllables).collect()]
+    assert len(set(masked)) == 120
+
+
+@pytest.mark.parametrize("text, read_as", [
+    ("Müller café naïve", "cp1252"), ("Herr Müller wohnt in Köln", "latin-1"), ("Łódź jest piękna", "latin-1"), ("café", "cp1252"), ("Да", "cp1251"), ("don’t", "cp1252"),
+    ("цена — высокая", "cp1251"), ("Ціна товару зависока", "cp1251"),
+])
+def test_utf8_read_as_a_legacy_encoding_is_restored(text, read_as):
+    model = encoding.PairModel(np.zeros(encoding.K * encoding.K, np.int64))
+    damaged = text.encode().decode(read_as, "strict") if read_as != "cp1251" else "".join(bytes([b]).decode("cp1251", "replace").replace("\ufffd", chr(b)) for b in text.encode())
+    got = encoding.repair_batch(model, [damaged])[0]
+    assert got and got[0] == text and got[1] is True
+
+
+@pytest.mark.parametrize("text", ["Müller in Köln, café naïve Łódź", "ХОТЯ ВЧЕРА ЕЁ ОТКЛЮЧАЛИ", "С… вот так", "магазин “Р” закрыт", "Señor Ñandú, voilà Zoë, Ålesund, Øre", "ÀÉÎ"])
+def test_sound_text_is_left_alone(text):
+    model = encoding.PairModel(np.zeros(encoding.K * encoding.K, np.int64))
+    assert encoding.repair_batch(model, [text]) == [None]
