@@ -5,7 +5,10 @@ among its rarest that a similar set must share one of; a word in more than
 ``hot_df`` sets is replaced by its pairs with the words after it, as similar
 sets share at least two words of a prefix longer by one.  Classes under one
 signature are compared by bit maps first (never dropping a similar pair), then
-by their sets.  Words are ordered by a frequency sketch of fixed size, which
+by their sets.  A signature under which very many pairs are alike gives only one
+earlier partner for each class; what is then still in different components is
+compared in a second round, so groups of near-equal sets never become all their
+pairs.  Words are ordered by a frequency sketch of fixed size, which
 any number of distinct words fits in.
 """
 
@@ -27,6 +30,7 @@ from .cells import by_cell, hot_cells, split_hot
 
 SIMILARITY, MIN_WORDS, MIN_CHARS, MIN_ROWS = 0.7, 8, 4, 3
 SKETCH_BITS, HOT_DF, CELL_CAP, ROW_BLOCK = 18, 20_000, 16_384, 512
+PAIRS_A_ROW = 32  #: candidates a row of a signature, beyond which one partner each is taken first
 NOT_TERM = "[^а-яёa-z0-9]+"
 
 
@@ -129,14 +133,23 @@ def _most_different(largest: int, t: float) -> np.ndarray:
     return np.minimum(total - 2 * needed_overlap(total, 0, t), 255).astype(np.uint8)
 
 
-def _cell_work(t: float):
+def _pairs(a: np.ndarray, b: np.ndarray, dense: bool) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b)), pa.array(np.full(len(a), dense))], ["a", "b", "dense"])
+
+
+def _cell_work(t: float, pairs_a_row: int | None):
+    """Candidates of a cell.  Beyond ``pairs_a_row`` a row, each row has its first partner only, and a last line names the dense cell: signature and chunks."""
+
     def work(c: pa.Table) -> pa.RecordBatch | None:
         cid, size, chunk = c.column("cid").to_numpy(), np.minimum(c.column("size").to_numpy(), 1 << 13).astype(np.int16), c.column("chunk").to_numpy()
         halves = c.column("c1")[0] != c.column("c2")[0]
+        root = c.column("root").to_numpy() if "root" in c.column_names else None
         order = np.lexsort((cid, size))
         cid, size, chunk = cid[order], size[order], chunk[order]
+        root = None if root is None else root[order]
         raw = np.frombuffer(b"".join(c.column("bits").to_pylist()), np.uint64).reshape(-1, 2)[order]
-        found = []
+        found, many, dense = [], 0, False
+        linked = np.zeros(len(cid), bool)
         limit = _most_different(int(2 * size.max(initial=0)), t)
         for lo in range(0, len(cid), ROW_BLOCK):
             hi = min(len(cid), lo + ROW_BLOCK)
@@ -147,13 +160,33 @@ def _cell_work(t: float):
             ok[:, : hi - lo] &= np.arange(hi - lo)[:, None] < np.arange(hi - lo)[None, :]
             if halves:
                 ok &= chunk[lo:hi, None] != chunk[None, lo:last]
-            i, j = np.nonzero(ok)
+            if root is not None:
+                ok &= root[lo:hi, None] != root[None, lo:last]
+            if dense:
+                j = np.flatnonzero(ok.any(0) & ~linked[lo:last])
+                i = ok[:, j].argmax(0)
+            else:
+                i, j = np.nonzero(ok)
+            many += len(i)
             if len(i):
-                found.append((cid[lo + i], cid[lo + j]))
+                found.append((lo + i, lo + j))
+            if not dense and pairs_a_row is not None and many > pairs_a_row * len(cid):
+                dense = True
+                i, j = (np.concatenate(x) for x in zip(*found))
+                by = np.lexsort((i, j))
+                first = by[np.append(True, j[by][1:] != j[by][:-1])]
+                found = [(i[first], j[first])]
+            if dense:
+                linked[found[-1][1]] = True
         if not found:
             return None
         a, b = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        out = _pairs(cid[a], cid[b], False)
+        if dense:
+            cell = [c.column("sig")[0].as_py(), (c.column("c1")[0].as_py() << 32) + c.column("c2")[0].as_py()]
+            mark = pa.RecordBatch.from_arrays([pa.array([x], pa.int64()) for x in cell] + [pa.array([True])], out.schema.names)
+            out = pa.Table.from_batches([out, mark]).combine_chunks().to_batches()[0]
+        return out
 
     return work
 
@@ -175,14 +208,24 @@ def _bulk_work(t: float):
             found.append((cid[i[ok]], cid[j[ok]]))
         if not found:
             return None
-        a, b = (np.concatenate(x) for x in zip(*found))
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        return _pairs(*(np.concatenate(x) for x in zip(*found)), False)
 
     return work
 
 
-def similar_classes(classes: DataFrame, t: float = SIMILARITY, hot_df: int = HOT_DF, cell_cap: int = CELL_CAP) -> DataFrame:
-    """``a, b`` with a < b: all pairs of classes with a Jaccard similarity of at least ``t``.  ``classes`` holds ``cid, words``."""
+def _verified(candidates: DataFrame, classes: DataFrame, t: float) -> DataFrame:
+    left = candidates.select("a", "b").distinct().join(classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a")
+    both = left.join(classes.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
+    shared = F.size(F.array_intersect("wa", "wb"))
+    return both.where(shared >= F.lit(t) * (F.size("wa") + F.size("wb") - shared) - F.lit(1e-9)).select("a", "b")
+
+
+def _roots(links: DataFrame) -> DataFrame:
+    return component_roots(links.select(F.col("a").alias("src"), F.col("b").alias("dst"))).withColumnRenamed("node", "cid")
+
+
+def class_roots(classes: DataFrame, t: float = SIMILARITY, hot_df: int = HOT_DF, cell_cap: int = CELL_CAP, pairs_a_row: int = PAIRS_A_ROW) -> DataFrame:
+    """``cid, root`` of the classes that are linked: components under a Jaccard similarity of at least ``t``.  ``classes`` holds ``cid, words``."""
     df = frequency_sketch(classes)
     schema = T.StructType([T.StructField("sig", T.LongType()), T.StructField("cid", T.LongType()), T.StructField("size", T.IntegerType()), T.StructField("bits", T.BinaryType())])
 
@@ -202,16 +245,23 @@ def similar_classes(classes: DataFrame, t: float = SIMILARITY, hot_df: int = HOT
     rows = classes.select("cid", "words").mapInArrow(emit, schema)
     hot = materialise(hot_cells(rows.select("sig"), "sig", cell_cap))
     cells = split_hot(rows, hot, "sig", "cid").select("sig", "c1", "c2", "cid", "size", "bits", "chunk")
-    candidates = cells.repartition("sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2").mapInArrow(by_cell(3, _cell_work(t), _bulk_work(t)), "a bigint, b bigint").distinct()
-    left = candidates.join(classes.select(F.col("cid").alias("a"), F.col("words").alias("wa")), "a")
-    both = left.join(classes.select(F.col("cid").alias("b"), F.col("words").alias("wb")), "b")
-    shared = F.size(F.array_intersect("wa", "wb"))
-    return both.where(shared >= F.lit(t) * (F.size("wa") + F.size("wb") - shared) - F.lit(1e-9)).select("a", "b")
+    schema = "a bigint, b bigint, dense boolean"
+    first = cells.repartition("sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2").mapInArrow(by_cell(3, _cell_work(t, pairs_a_row), _bulk_work(t)), schema)
+    first = materialise(first.distinct())  # the links, and the dense cells, are both read from it
+    links = materialise(_verified(first.where("NOT dense"), classes, t))
+    roots = _roots(links)
+    dense = first.where("dense").select(F.col("a").alias("sig"), F.shiftright("b", 32).cast("int").alias("c1"), F.col("b").bitwiseAND((1 << 32) - 1).cast("int").alias("c2"))
+    if not dense.limit(1).count():
+        return roots
+    again = cells.join(dense, ["sig", "c1", "c2"]).join(roots, "cid", "left").select("sig", "c1", "c2", "cid", "size", "bits", "chunk", F.coalesce("root", "cid").alias("root"))
+    second = again.repartition("sig", "c1", "c2").sortWithinPartitions("sig", "c1", "c2").mapInArrow(by_cell(3, _cell_work(t, None)), schema)
+    more = _verified(second, classes, t)
+    return _roots(links.unionByName(more))
 
 
 def similar_row_clusters(
     df: DataFrame, id_col: str = "row_id", text_col: str = "col1", t: float = SIMILARITY, min_words: int = MIN_WORDS, min_chars: int = MIN_CHARS,
-    min_rows: int = MIN_ROWS, hot_df: int = HOT_DF, cell_cap: int = CELL_CAP,
+    min_rows: int = MIN_ROWS, hot_df: int = HOT_DF, cell_cap: int = CELL_CAP, pairs_a_row: int = PAIRS_A_ROW,
 ) -> DataFrame:
     """``first_id, id``: each row of a cluster but its smallest id, which is ``first_id``.
 
@@ -225,10 +275,9 @@ def similar_row_clusters(
     """
     full = keyed_rows(df, id_col, text_col, min_chars, min_words, True)
     classes = materialise(full.groupBy("key").agg(F.min("id").cast("bigint").alias("cid"), F.first("words").alias("words")))
-    links = similar_classes(classes, t, hot_df, cell_cap)
-    roots = component_roots(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    roots = class_roots(classes, t, hot_df, cell_cap, pairs_a_row)
     rows = keyed_rows(df, id_col, text_col, min_chars, min_words, False)
-    members = rows.join(classes.select("key", "cid"), "key").join(roots.withColumnRenamed("node", "cid"), "cid", "left")
+    members = rows.join(classes.select("key", "cid"), "key").join(roots, "cid", "left")
     members = materialise(members.select(F.col("id").cast("bigint").alias("id"), F.coalesce("root", "cid").alias("root")).distinct())  # read twice below
     sizes = members.groupBy("root").agg(F.count("*").alias("n"), F.min("id").alias("first_id")).where(F.col("n") >= min_rows)
     return members.join(sizes, "root").where("id <> first_id").select("first_id", "id")

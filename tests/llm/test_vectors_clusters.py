@@ -120,8 +120,11 @@ def _clusters(rows, t=0.7):
     return {(min(g), i) for g in groups.values() if len(g) >= 3 for i in g if i != min(g)}
 
 
-@pytest.mark.parametrize("hot, cap", [(20_000, 16_384), (5, 8), (0, 3)])
-def test_row_clusters_against_brute_force(spark, hot, cap):
+@pytest.mark.parametrize("hot, cap, pairs", [(20_000, 16_384, 32), (5, 8, 32), (0, 3, 0), (20_000, 16_384, 0)])
+def test_row_clusters_against_brute_force(spark, monkeypatch, hot, cap, pairs):
+    whole = setjoin.by_cell
+    if pairs == 0:  # every cell as if it were large
+        monkeypatch.setattr(setjoin, "by_cell", lambda keys, work, bulk=None: whole(keys, work))
     rng = random.Random(7)
     common = [f"общее{chr(1072 + i)}" for i in range(10)]
     rows = [(900, None), (901, ""), (902, "мало слов"), (903, "1234567 " * 30)]
@@ -133,7 +136,7 @@ def test_row_clusters_against_brute_force(spark, hot, cap):
             rows.append((len(rows) * 3, " ".join(w).upper() if rng.random() < 0.3 else ", ".join(w)))
     rows += [(5000 + i, rows[10][1]) for i in range(40)]
     df = spark.createDataFrame([(*r, 1) for r in rows], "row_id bigint, col1 string, key int").repartition(4)
-    got = {tuple(r) for r in setjoin.similar_row_clusters(df, hot_df=hot, cell_cap=cap).collect()}
+    got = {tuple(r) for r in setjoin.similar_row_clusters(df, hot_df=hot, cell_cap=cap, pairs_a_row=pairs).collect()}
     assert got == _clusters(rows)
     assert setjoin.similar_row_clusters(df.limit(0)).count() == 0
 
