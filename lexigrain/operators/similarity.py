@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..scratch import materialise
+
 
 def dot(a: Column, b: Column) -> Column:
     """Dot product of two arrays, over the length of the shorter."""
@@ -61,3 +63,32 @@ def top_neighbors(pairs: DataFrame, k: int = 4, digits: int = 6) -> DataFrame:
     both = both.unionByName(both.select(F.col("neighbor_id").alias("doc_id"), F.col("doc_id").alias("neighbor_id"), "similarity"))
     order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), F.desc("neighbor_id"))
     return both.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+
+
+def nearest_texts(vectors: DataFrame, id_col: str = "doc_id", key: str = "feature", min_similarity: float = 0.18, k: int = 4, digits: int = 6, max_df: int | None = None) -> DataFrame:
+    """``doc_id, neighbor_id, similarity, rank``: the ``k`` most similar others of every vector of length 1, as :func:`top_neighbors` of :func:`sparse_pairs`.
+
+    Of more than ``k + 1`` copies of a vector only the ``k + 1`` of largest id are
+    compared: no other can be in a list, as ties go to the larger id.  The other
+    copies take the largest and its list, so a group of copies never becomes all
+    its pairs, whatever share of the rows it holds.  ``vectors`` is read several
+    times: give a table that is kept.
+    """
+    same = F.array_sort(F.collect_list(F.struct(F.col(key), F.round("w", 9))))
+    keyed = vectors.groupBy(F.col(id_col).alias("id")).agg(same.alias("s")).select("id", F.struct(F.xxhash64("s"), F.hash("s"), F.size("s")).alias("h"))
+    large = keyed.groupBy("h").agg(F.count("*").alias("n"), F.max("id").alias("last")).where(F.col("n") > k + 1)
+    large = materialise(large.select("h", "last"))
+    if not large.limit(1).count():
+        return top_neighbors(sparse_pairs(vectors, id_col, key, min_similarity, max_df), k, digits)
+    # the limit of the rank is taken before the shuffle as well: a task sends k + 1 ids of a group
+    place = F.row_number().over(Window.partitionBy("h").orderBy(F.desc("id")))
+    first = materialise(keyed.join(large, "h").withColumn("place", place).where(F.col("place") <= k + 1).select("id"))
+    rest = materialise(keyed.join(large, "h").join(first, "id", "left_anti").select("id", "last"))
+    kept = vectors.join(rest.select(F.col("id").alias(id_col)), id_col, "left_anti")
+    lists = materialise(top_neighbors(sparse_pairs(kept, id_col, key, min_similarity, max_df), k, digits))
+    own = large.select(F.col("last").alias("doc_id"), F.col("last").alias("neighbor_id"), F.lit(1.0).alias("similarity"))
+    merged = lists.join(large.select(F.col("last").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "neighbor_id", "similarity").unionByName(own)
+    order = Window.partitionBy("doc_id").orderBy(F.desc("similarity"), F.desc("neighbor_id"))
+    merged = merged.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    followed = rest.join(merged.withColumnRenamed("doc_id", "last"), "last").select(F.col("id").alias("doc_id"), "neighbor_id", "similarity", "rank")
+    return lists.unionByName(followed)

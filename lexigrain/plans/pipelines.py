@@ -14,7 +14,7 @@ from ..operators.graph import connected_components, symmetric_edges
 from ..operators.metrics import report, stratified_split, summary
 from ..operators.minibatch import minibatch_kmeans
 from ..operators.packed import pack
-from ..operators.similarity import sparse_pairs, top_neighbors
+from ..operators.similarity import nearest_texts
 from ..operators.tfidf import bag, document_frequency, frequent_words, pruned_tfidf, tfidf, vocabulary, weighted_bag
 from ..scratch import materialise
 from ..sources.csvfiles import joined_text, load_csv, save_clustered
@@ -73,7 +73,7 @@ def graph_clustering(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     weighted = weighted_bag(kept, "doc_id", parts)
     features = vocabulary(weighted, n)
     vectors = materialise(tfidf(weighted, features, "doc_id", "raw", normalise=True))
-    neighbors = materialise(top_neighbors(sparse_pairs(vectors, "doc_id", "feature", o.min_similarity, o.max_df), o.k))
+    neighbors = materialise(nearest_texts(vectors, "doc_id", "feature", o.min_similarity, o.k, max_df=o.max_df))
     graph = symmetric_edges(neighbors)
     clusters = connected_components(graph, tokens)
     return GraphResult(tokens, common, words, vectors, features, neighbors, graph, clusters)

@@ -345,7 +345,7 @@ def _pairs(spark: SparkSession, sf_dir: str, least: float = 0.18) -> DataFrame:
 
 @query("neighbors_top4", _SQL_NEIGHBORS + " SELECT doc_id, neighbor_id, similarity, rank FROM nb")
 def neighbors_top4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return similarity.top_neighbors(_pairs(spark, sf_dir))
+    return similarity.nearest_texts(materialise(_unit_words(spark, sf_dir)))
 
 
 @query("knn_graph", _SQL_GRAPH + " SELECT src, dst FROM edges")

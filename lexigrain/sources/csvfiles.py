@@ -9,11 +9,12 @@ from pyspark.sql import types as T
 COLUMNS = ("col1", "col2", "col3")
 
 
-def load_csv(spark: SparkSession, path: str, has_header: bool = True, encoding: str = "UTF-8", delimiter: str = ",") -> DataFrame:
+def load_csv(spark: SparkSession, path: str, has_header: bool = True, encoding: str = "UTF-8", delimiter: str = ",", line_breaks: bool = True) -> DataFrame:
     """``row_id, col1, col2, col3``: the first three fields of every record, trimmed; missing ones are empty.
 
     The header is skipped by position, not by name.  Quoted fields may hold
-    delimiters, doubled quotes and line breaks.  Empty lines are dropped;
+    delimiters, doubled quotes and, with ``line_breaks``, line breaks; without,
+    a large file is read by many tasks, otherwise by one.  Empty lines are dropped;
     bytes that the encoding cannot read become U+FFFD and are then dropped.
     ``row_id`` orders records within a file and files by partition; it is unique
     but not dense.  An empty file gives no rows.
@@ -21,7 +22,7 @@ def load_csv(spark: SparkSession, path: str, has_header: bool = True, encoding:
     schema = T.StructType([T.StructField(c, T.StringType()) for c in COLUMNS])
     raw = (
         spark.read.schema(schema).option("header", has_header).option("enforceSchema", True).option("sep", delimiter).option("encoding", encoding)
-        .option("quote", '"').option("escape", '"').option("multiLine", True).option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1).csv(path)
+        .option("quote", '"').option("escape", '"').option("multiLine", line_breaks).option("mode", "PERMISSIVE").option("maxCharsPerColumn", -1).csv(path)
     )
     clean = [F.coalesce(F.regexp_replace(F.regexp_replace(c, "�", ""), r"(?U)^\s+|\s+$", ""), F.lit("")).alias(c) for c in COLUMNS]
     return raw.select(F.monotonically_increasing_id().alias("row_id"), *clean)

@@ -63,6 +63,19 @@ def test_neighbors_prefer_the_larger_id(spark):
     assert similarity.sparse_pairs(v.limit(0)).count() == 0
 
 
+def test_copies_have_the_lists_that_all_pairs_give(spark):
+    rng = np.random.default_rng(2)
+    m = rng.random((40, 5)) * (rng.random((40, 5)) < 0.6)
+    m[3:25] = m[2]
+    m[30:33] = m[29]
+    n = np.linalg.norm(m, axis=1, keepdims=True)
+    m = m / np.where(n > 0, n, 1)
+    v = spark.createDataFrame([(i, str(j), float(m[i, j])) for i in range(40) for j in range(5) if m[i, j]], "doc_id bigint, feature string, w double")
+    want = similarity.top_neighbors(similarity.sparse_pairs(v)).collect()
+    assert sorted(similarity.nearest_texts(v).collect()) == sorted(want)
+    assert similarity.nearest_texts(v.limit(0)).count() == 0
+
+
 def test_leaders_are_those_of_the_sequential_pass(spark):
     p, m = _vectors(spark, 60)
     s = np.round(m @ m.T, 6)
