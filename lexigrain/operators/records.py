@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 FIELDS = 3
 START, PLAIN, QUOTED, CLOSED = range(4)
-TAG = re.compile(r"\[обращение [0-9]+\]\Z")
+TICKET = r"\[обращение [0-9]+\]\Z"  #: what ``col1`` holds at its end, unless another pattern (or None) is given
 BAD_CHAR = re.compile("[\x00-\x08\x0b\x0c\x0e-\x1f\x7f�]")
 TRIM = " \t\r\n"
 _SYMBOLS = re.compile(r'[",]|[^",]+')
@@ -124,19 +124,19 @@ def cheapest_parse(raw: str) -> tuple[int, list[str], list[str]]:
     return cost, edits, fields
 
 
-def check_values(fields: list[str]) -> list[str]:
-    """What is invalid in three parsed fields; empty for a valid record."""
+def check_values(fields: list[str], first_pattern: str | None = TICKET) -> list[str]:
+    """What is invalid in three parsed fields; empty for a valid record.  The trimmed first field must hold ``first_pattern``, if given."""
     found = []
     first = fields[0].strip(TRIM)
     if not first:
         found.append("col1 is blank")
-    elif not TAG.search(first):
+    elif first_pattern is not None and not re.search(first_pattern, first):
         found.append("col1 has no ticket tag at its end")
     found += [f"col{i} holds a control or replacement character" for i, x in enumerate(fields, 1) if BAD_CHAR.search(x)]
     return found
 
 
-def parse_record(raw: str | None) -> tuple[bool, str | None, int, list[str], list[str | None]]:
+def parse_record(raw: str | None, first_pattern: str | None = TICKET) -> tuple[bool, str | None, int, list[str], list[str | None]]:
     """(loadable, reason, edit cost, edits, fields) of one record."""
     if raw is None:
         return False, "record: null", 0, [], [None] * FIELDS
@@ -151,14 +151,14 @@ def parse_record(raw: str | None) -> tuple[bool, str | None, int, list[str], lis
     if cost:
         kind = "quoting" if any("quote" in x for x in edits) else "fields"
         reasons.append(f"{kind}: {'; '.join(edits)}")
-    reasons += [f"value: {x}" for x in check_values(fields)]
+    reasons += [f"value: {x}" for x in check_values(fields, first_pattern)]
     return not reasons, " | ".join(reasons) or None, cost, edits, fields
 
 
 RESULT = "loaded boolean, reason string, cost int, edits array<string>, field1 string, field2 string, field3 string"
 
 
-def parse_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -> DataFrame:
+def parse_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", first_pattern: str | None = TICKET) -> DataFrame:
     """One row per record: id, ``loaded``, ``reason``, ``cost``, ``edits``, ``field1..3``.
 
     ``field1..3`` are the values of the cheapest reading: final for loaded
@@ -171,7 +171,7 @@ def parse_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [parse_record(x) for x in b["raw"]]
+            rows = [parse_record(x, first_pattern) for x in b["raw"]]
             yield pd.DataFrame({
                 "id": b["id"], "loaded": [r[0] for r in rows], "reason": [r[1] for r in rows],
                 "cost": pd.Series([r[2] for r in rows], dtype="int32"), "edits": [r[3] for r in rows],
@@ -182,13 +182,13 @@ def parse_records(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -
     return out.withColumnRenamed("id", id_col)
 
 
-def loaded(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -> DataFrame:
+def loaded(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", first_pattern: str | None = TICKET) -> DataFrame:
     """The valid records as ``id, col1, col2, col3``."""
-    p = parse_records(df, id_col, raw_col)
+    p = parse_records(df, id_col, raw_col, first_pattern)
     return p.where("loaded").select(id_col, *(p[f"field{i}"].alias(f"col{i}") for i in (1, 2, 3)))
 
 
-def rejected(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw") -> DataFrame:
+def rejected(df: DataFrame, id_col: str = "rec_id", raw_col: str = "raw", first_pattern: str | None = TICKET) -> DataFrame:
     """The records that cannot be loaded as ``id, reason, cost, edits`` and the proposed fields."""
-    p = parse_records(df, id_col, raw_col)
+    p = parse_records(df, id_col, raw_col, first_pattern)
     return p.where("NOT loaded").select(id_col, "reason", "cost", "edits", *(p[f"field{i}"].alias(f"proposed{i}") for i in (1, 2, 3)))

@@ -71,3 +71,8 @@ def test_table(spark):
     bad = {r["rec_id"]: r for r in R.rejected(df).collect()}
     assert set(bad) == {2, 3} and bad[2]["reason"] == "record: null" and bad[3]["cost"] == 1 and "delete quote" in bad[3]["reason"]
     assert R.parse_records(df.limit(0)).count() == 0
+
+
+def test_the_pattern_of_the_first_field_is_a_parameter():
+    assert not R.parse_record("a,b,c")[0]
+    assert R.parse_record("a,b,c", None)[0] and R.parse_record("a 1,b,c", "[0-9]$")[0] and not R.parse_record("a,b,c", "[0-9]$")[0]
