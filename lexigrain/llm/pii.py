@@ -45,12 +45,16 @@ GIVEN_RU_M = (
     "радик ринат роберт родион роман ростислав рудольф руслан рустам савва савелий самуил святослав севастьян семён серафим сергей соломон станислав степан тарас тимофей тимур тихон трофим фёдор федот феликс филипп фома харитон эдуард эльдар эмиль эрик юлиан юлий юрий яков ян ярослав"
 ).split()
 GIVEN_EN = (
-    "aaron abigail adam adrian agnes alan albert alice amanda amber amelia amy andrea andrew angela anna anthony arthur audrey austin barbara beatrice benjamin bernard beth bonnie brandon brenda brian bruce caleb carl carol caroline catherine charles charlotte chloe christian christina christopher claire clara clive colin connor cora craig cynthia "
-    "daisy daniel david deborah dennis derek diana dominic donald donna dorothy douglas dylan edgar edith edmund edward edwin eleanor elena eliza elizabeth ella ellen elsa emily emma eric ernest esther ethan eugene eva evelyn felix fiona flora florence frances francis frank freya gabriel gareth gary gavin gemma george gerald gloria gordon grace graham greta gregory gwen "
-    "hannah harold harriet harry harvey hazel heather hector helen henry holly howard hugo hugh ian ida imogen ingrid irene iris isaac isabel isla ivan ivy jack jacob jade james jane janet jasmine jason jean jennifer jeremy jessica joan joanna joel john jonathan joseph joshua joyce judith julia julian karen katherine keith kenneth kevin kirsten kyle "
-    "lara laura lauren leah leo leon leonard leonora lewis liam lilian linda lisa louis louise lucas lucy luke lydia mabel malcolm marcus margaret maria marina marion mark martha martin mary matilda matthew maud megan melanie melissa michael michelle mildred miles miriam molly monica myra nancy naomi natalie nathan neil nicholas nicole nigel nina noah nora norman "
-    "olga olive oliver olivia oscar owen pamela patricia patrick paul paula penelope peter philip phoebe rachel ralph raymond rebecca reginald richard robert robin roger roland ronald rosa rose rosemary ruby rupert russell ruth ryan sabrina samantha samuel sandra sarah scott sean selma sharon sheila sidney simon sofia sonia sophia sophie stella stephen steven stuart susan sven sylvia "
-    "teresa terence theodore theresa thomas timothy tina tobias tracy trevor ursula valerie vanessa vera vernon veronica victor victoria vincent viola violet virginia vivian walter wanda warren wendy wesley wilfred william winifred yvonne zachary zoe tilda aron hilda otto klara lena mila nadia max tom tim ben sam kate jill bob bill jim joe dan fred nick mike dave steve tony liz meg sue ann jon dora erik lars nils olaf astrid birgit elsie ebba signe magnus gustav"
+    "aaron abigail adam adrian agnes alan albert alice amanda amber amelia amy andrea andrew angela ann anna anthony aron arthur astrid audrey austin barbara beatrice ben benjamin bernard beth bill birgit bob bonnie brandon brenda "
+    "brian bruce caleb carl carol caroline catherine charles charlotte chloe christian christina christopher claire clara clive colin connor cora craig cynthia daisy dan daniel dave david deborah dennis derek diana dominic donald donna "
+    "dora dorothy douglas dylan ebba edgar edith edmund edward edwin eleanor elena eliza elizabeth ella ellen elsa elsie emily emma eric erik ernest esther ethan eugene eva evelyn felix fiona flora florence frances francis frank fred "
+    "freya gabriel gareth gary gavin gemma george gerald gloria gordon grace graham gregory greta gustav gwen hannah harold harriet harry harvey hazel heather hector helen henry hilda holly howard hugh hugo ian ida imogen ingrid irene "
+    "iris isaac isabel isla ivan ivy jack jacob jade james jane janet jasmine jason jean jennifer jeremy jessica jill jim joan joanna joe joel john jon jonathan joseph joshua joyce judith julia julian karen kate katherine keith kenneth "
+    "kevin kirsten klara kyle lara lars laura lauren leah lena leo leon leonard leonora lewis liam lilian linda lisa liz louis louise lucas lucy luke lydia mabel magnus malcolm marcus margaret maria marina marion mark martha martin "
+    "mary matilda matthew maud max meg megan melanie melissa michael michelle mike mila mildred miles miriam molly monica myra nadia nancy naomi natalie nathan neil nicholas nick nicole nigel nils nina noah nora norman olaf olga olive "
+    "oliver olivia oscar otto owen pamela patricia patrick paul paula penelope peter philip phoebe rachel ralph raymond rebecca reginald richard robert robin roger roland ronald rosa rose rosemary ruby rupert russell ruth ryan sabrina "
+    "sam samantha samuel sandra sarah scott sean selma sharon sheila sidney signe simon sofia sonia sophia sophie stella stephen steve steven stuart sue susan sven sylvia terence teresa theodore theresa thomas tilda tim timothy tina "
+    "tobias tom tony tracy trevor ursula valerie vanessa vera vernon veronica victor victoria vincent viola violet virginia vivian walter wanda warren wendy wesley wilfred william winifred yvonne zachary zoe"
 ).split()
 # Latin spellings of Cyrillic letters.
 TRANSLIT = {
@@ -366,8 +370,10 @@ _STARTS_SENTENCE = re.compile(r"(?:^|[.!?…][\"'»)]?\s{1,3}|[\r\n]\s{0,3})\Z")
 _SHORTENED = re.compile(r"(?:\b(?:ул|пр|пл|пер|наб|просп|бул|им|ст|г|пос|st|ave|rd|no|vol|fig)|(?<!\w)[^\W\d_])\.\s{0,3}\Z", re.I)
 _CITIES = frozenset("азов белев гагарин жуков жуковский киров королев псков пушкин ростов саров саратов серов тамбов чехов белгород камышин боровск".split())
 _CALL = re.compile(r"(?:меня зовут|зовут меня|мо[её] имя|получатель|на имя|фио|ф\. ?и\. ?о\.|с уважением|подпись|my name is|i am called|regards|sincerely|yours|name)\s?[:,\-]?\s+", re.I)
-_INTRODUCTIONS = ("my name is", "regards,", "sincerely,", "engineer,", "manager,", "attn", "dear")
-_INTRODUCED = re.compile(r"\b(?:[Mm]y name is|MY NAME IS|[Rr]egards,|REGARDS,|[Ss]incerely,|[Ee]ngineer,|[Mm]anager,|[Aa]ttn:?|[Dd]ear)\s(?:M(?:r|s|rs|iss)\.?\s)?([A-Z][\w'\-]+,? [A-Z][\w'\-]+)(?=[\s.,;!?]|\Z)")
+# Words that stand before a name in English letters.
+_ROLES = ("agent", "assistant", "attorney", "consultant", "director", "engineer", "manager", "operator", "specialist")
+_INTRODUCTIONS = ("my name is", "regards,", "sincerely,", "attn", "dear", *(f"{r}," for r in _ROLES))
+_INTRODUCED = re.compile(r"\b(?:[Mm]y name is|MY NAME IS|[Rr]egards,|REGARDS,|[Ss]incerely,|" + "|".join(f"[{r[0].upper()}{r[0]}]{r[1:]}," for r in _ROLES) + r"|[Aa]ttn:?|[Dd]ear)\s(?:M(?:r|s|rs|iss)\.?\s)?([A-Z][\w'\-]+,? [A-Z][\w'\-]+)(?=[\s.,;!?]|\Z)")
 _PATRONYMIC = re.compile(r"(?:[оеё]вич|[оеё]вн|ичн|инична|ovich|evich|ovn|evn|ichn)(?:а|у|ем|ом|е|ой|ы|a|u)?\Z")
 _TITLE = re.compile(r"(?:mr|mrs|ms|miss|dr|sir|madam|господин|госпожа|г-н|г-жа)\Z", re.I)
 _STOP = frozenset("и в на с по за из от до для не но а или что как это мы вы он она они я у к о об the a an and or is of in to for at on from with by i we you he she it they my your our this that".split())

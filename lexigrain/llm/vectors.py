@@ -146,9 +146,12 @@ class Hasher:
 
 
 def axes_for(n: int, dim: int, cell_rows: int = CELL_ROWS) -> tuple[int, ...]:
-    """Axes of each digit, so that ``n`` vectors spread over cells of about ``cell_rows``; none where one cell is enough."""
+    """Axes of each digit, so that ``n`` vectors spread over cells of about ``cell_rows``; none where one cell is enough.
+
+    A further digit costs recall, so cells may be twice as large before there is one.
+    """
     width, out, wanted = 1 << max(0, (dim - 1).bit_length()), [], n / cell_rows
-    while wanted > 1:
+    while wanted > (2 if out else 1):
         need = min(width, max(1, 1 << max(0, int(np.ceil(np.log2(wanted / 2))))))
         out.append(need)
         wanted /= 2 * need

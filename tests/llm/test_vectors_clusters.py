@@ -54,7 +54,7 @@ def test_cells_keep_their_size():
     for n in (0, 1, 4096, 10_000, 300_000, 90_000_000, 3 * 10**11):
         axes = vectors.axes_for(n, 64)
         cells = np.prod([2.0 * a for a in axes]) if axes else 1
-        assert n / cells <= 4096 < 4 * max(n / cells, 2048) and all(a <= 64 for a in axes)
+        assert n / cells <= 8192 < 8 * max(n / cells, 2048) and all(a <= 64 for a in axes)
 
 
 @pytest.mark.parametrize("max_heads", [50, 0])
