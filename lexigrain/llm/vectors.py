@@ -35,6 +35,7 @@ MAX_HEADS = 50_000  #: groups of copies that skip the tables; copies of smaller
 DEPTH = 3
 ROTATIONS = 3
 DECIMALS = 6
+APART = -4.0  #: in place of the similarity of rows that are not compared, below any least similarity
 _MIX = np.int64(0x5851F42D4C957F2D)
 
 
@@ -232,10 +233,10 @@ def _best(ids: np.ndarray, probe: np.ndarray, m: np.ndarray, k: int, least: floa
         cols = len(ids) if lo < kept else kept
         s = f[lo:hi] @ f[:cols].T
         if lo < kept < hi:
-            s[kept - lo :, kept:] = -2
+            s[kept - lo :, kept:] = APART
         if chunk is not None:
-            s[chunk[lo:hi, None] == chunk[None, :cols]] = -2
-        s[ids[lo:hi, None] == ids[None, :cols]] = -2
+            s[chunk[lo:hi, None] == chunk[None, :cols]] = APART
+        s[ids[lo:hi, None] == ids[None, :cols]] = APART
         near = s >= least - 1e-4
         many = np.flatnonzero(near.sum(1) > 4 * k) if cols > k else ()
         if len(many):  # only what can be among the k best goes on
