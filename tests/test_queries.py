@@ -11,6 +11,7 @@ CHECKED = (
     "p2_found", "p2_loaded", "tokens_words", "tokens_clean", "tokens_stemmed", "tokens_classifier", "text_letters_literal", "text_normalised", "ngrams_word_zero", "ngrams_char", "ngrams_ticket", "features_mixed_spaceless",
     "bag_weighted", "tfidf_share", "tfidf_weighted", "vocabulary_pruned", "without_common_words", "cosine_dense", "neighbors_top4", "graph_components", "cluster_top_features", "similarity_histogram", "random_projection",
     "kmeans_two_rounds", "stratified_split", "classifier_predict", "classifier_typical", "classification_summary", "csv_round_trip",
+    "tfidf_mixed", "kmeans_random", "leader_topics", "agglomerative_news", "graph_pipeline", "classifier_projection", "classifier_stream", "lines_round_trip", "labelled_topics",
 )
 
 
