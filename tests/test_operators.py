@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 from lexigrain.functions import ngrams as N
 from lexigrain.functions import text as X
-from lexigrain.operators import agglomerative, classify, graph, leader, metrics, minibatch, packed, report, similarity, spherical, tfidf
+from lexigrain.operators import agglomerative, allpairs, classify, graph, leader, metrics, minibatch, packed, report, similarity, spherical, tfidf
 from lexigrain.plans import pipelines
 from lexigrain.sources import corpora, csvfiles
 from lexigrain.streaming.classify import predict_stream
@@ -76,6 +76,59 @@ def test_copies_have_the_lists_that_all_pairs_give(spark):
     assert similarity.nearest_texts(v.limit(0)).count() == 0
 
 
+def _shuffled_rows(spark, f):
+    """What ``f`` gives and how many rows its stages shuffle."""
+    sc = spark.sparkContext
+    none = sc._gateway.new_array(sc._jvm.double, 0)
+
+    def written():
+        sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        stages = sc._jsc.sc().statusStore().stageList(None, False, False, none, None)
+        return {stages.apply(i).stageId(): stages.apply(i).shuffleWriteRecords() for i in range(stages.size())}
+
+    before = written()
+    out = f()
+    return out, sum(n for k, n in written().items() if k not in before)
+
+
+def test_pairs_are_not_shuffled(spark):
+    """A feature that all rows share: a row a pair would be 124 750."""
+    n = 500
+    rows = [(i, f, x) for i in range(n) for f, x in (("all", 0.6), (f"half{i % 2}", 0.48), (f"some{i % 50}", 0.64))]
+    v = spark.createDataFrame(rows, "doc_id bigint, feature string, w double")
+    got, moved = _shuffled_rows(spark, lambda: similarity.nearest_texts(v).collect())
+    assert moved < 20 * len(rows)
+    assert len(got) == 4 * n and {r["similarity"] for r in got} == {1.0}
+    got, moved = _shuffled_rows(spark, lambda: similarity.sparse_pairs(v, min_similarity=0.5).collect())
+    assert moved < 20 * len(rows) and len(got) == 2 * (n // 2) * (n // 2 - 1) // 2
+
+
+@pytest.mark.parametrize("rows", [16, 1024])
+def test_pairs_and_nearest_of_blocks_are_all(spark, monkeypatch, rows):
+    monkeypatch.setattr(allpairs, "ROWS", rows)
+    rng = np.random.default_rng(5)
+    m = rng.standard_normal((200, 60)) * (rng.random((200, 60)) < np.geomspace(0.02, 0.9, 60))
+    m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-9)
+    v = spark.createDataFrame([(i * 7, j, float(m[i, j])) for i in range(200) for j in range(60) if m[i, j]], "doc_id int, feature int, w double")
+    s = m @ m.T
+    for least in (1e-9, 0.3, 0.6):
+        got = similarity.sparse_pairs(v, min_similarity=least)
+        assert got.schema["a"].dataType == v.schema["doc_id"].dataType
+        found = {(r["a"], r["b"]): r["similarity"] for r in got.collect()}
+        assert found.keys() == {(i * 7, j * 7) for i in range(200) for j in range(i + 1, 200) if round(s[i, j], 12) >= least}
+        assert all(abs(x - s[a // 7, b // 7]) < 1e-12 for (a, b), x in found.items())
+    want = {(i * 7, k + 1): j * 7 for i in range(200) for k, j in enumerate(sorted((j for j in range(200) if j != i and s[i, j] >= 0.18), key=lambda j: (-round(s[i, j], 6), -j))[:4])}
+    assert {(r["doc_id"], r["rank"]): r["neighbor_id"] for r in similarity.nearest_texts(v).collect()} == want
+
+
+def test_copies_but_for_features_of_their_own(spark):
+    """Rows with the same shared features and a feature of their own each: similar by 0.64, and not at all over a higher bound."""
+    v = spark.createDataFrame([(i, f, x) for i in range(9) for f, x in (("all", 0.8), (f"own{i}", 0.6))], "doc_id bigint, feature string, w double")
+    got = similarity.nearest_texts(v).collect()
+    assert sorted(got) == sorted(similarity.top_neighbors(similarity.sparse_pairs(v)).collect()) and {r["similarity"] for r in got} == {0.64}
+    assert similarity.nearest_texts(v, min_similarity=0.7).count() == 0
+
+
 def test_leaders_are_those_of_the_sequential_pass(spark):
     p, m = _vectors(spark, 60)
     s = np.round(m @ m.T, 6)
