@@ -28,8 +28,8 @@ from .graph import dense_numbers
 
 ENTRIES = 1_000_000  #: entries of a block
 ROWS = 1024  #: rows below which a block is not made smaller for the sake of more tasks
-CELLS = 1_000_000  #: sums held at once
-PRODUCTS = 2_000_000  #: products made at once
+CELLS = 130_000  #: sums held at once; this and the next keep to what a core caches
+PRODUCTS = 250_000  #: products made at once
 WIDE = 16_384  #: frequent features that may be left to the second step
 SLACK = 1e-12  #: over the rounding errors of sums
 
@@ -223,11 +223,12 @@ def nearest(packed: DataFrame, levels: np.ndarray, k: int, min_similarity: float
         least = np.full(len(x.ids), min_similarity - SLACK)
         for path in paths[i:] + paths[:i]:
             for y in _read(path, levels):
+                found = [(q, ids, s)]
                 for a, b, t in products(x, y, least):
                     keep = (x.ids[a] != y.ids[b]) & (np.round(t, 12) >= min_similarity)
                     if keep.any():
-                        a, b, t, _ = _firsts(a[keep], y.ids[b[keep]], t[keep], k, digits)
-                        q, ids, s, place = _firsts(np.append(q, a), np.append(ids, b), np.append(s, t), k, digits)
+                        found.append(_firsts(a[keep], y.ids[b[keep]], t[keep], k, digits)[:3])
+                q, ids, s, place = _firsts(*[np.concatenate(z) for z in zip(*found)], k, digits)
                 full = place == k - 1
                 least[q[full]] = np.maximum(min_similarity - SLACK, s[full] - 10.0**-digits)
         return pa.RecordBatch.from_arrays([pa.array(x.ids[q]), pa.array(ids), pa.array(s), pa.array((place + 1).astype(np.int32))], ["doc_id", "neighbor_id", "similarity", "rank"])
