@@ -584,7 +584,7 @@ def agglomerative_items(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("agglomerative_topics")
 def agglomerative_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Average linkage over a table that grows."""
-    return agglomerative.agglomerative_clusters(similarity.sparse_pairs(_unit_words(spark, sf_dir), min_similarity=1e-9), _topics(spark, sf_dir), 0.65)
+    return agglomerative.average_linkage(materialise(_unit_words(spark, sf_dir)), _topics(spark, sf_dir), 0.65)
 
 
 # --- classification -----------------------------------------------------------

@@ -178,6 +178,28 @@ def test_average_linkage(spark):
         agglomerative.agglomerative_clusters(df, spark.range(2).withColumnRenamed("id", "doc_id"), 1.0)
 
 
+@pytest.mark.parametrize("local", [0, agglomerative.LOCAL])
+def test_average_linkage_of_vectors_lists_no_pairs(spark, monkeypatch, local):
+    rng = np.random.default_rng(11)
+    rows = [(i, {int(f): float(rng.integers(1, 9)) for f in rng.choice(14, rng.integers(1, 5), replace=False)}) for i in range(24)]
+    rows += [(60 + i, rows[3 + i % 2][1]) for i in range(4)]  # copies
+    rows += [(70 + i, {0: 3.0, 1: 4.0, 100 + i: 2.0}) for i in range(3)]  # copies but for what no other row has
+    unit = [(i, f, w / math.sqrt(sum(x * x for x in v.values()))) for i, v in rows for f, w in v.items()]
+    df = spark.createDataFrame(unit, "doc_id bigint, feature int, w double").coalesce(1).cache()
+    nodes = spark.createDataFrame([(i,) for i, _ in rows] + [(90,), (None,), (3,)], "doc_id bigint")
+    want = agglomerative.agglomerative_clusters(similarity.sparse_pairs(df, min_similarity=1e-9), nodes, 0.65).collect()
+    monkeypatch.setattr(agglomerative, "LOCAL", local)
+    monkeypatch.setattr(allpairs, "pairs", None)
+    assert sorted(agglomerative.average_linkage(df, nodes, 0.65).collect()) == sorted(want)
+    with pytest.raises(ValueError):
+        agglomerative.average_linkage(df, nodes, 1.0)
+
+
+def test_average_linkage_of_nothing(spark):
+    df = spark.createDataFrame([], "doc_id bigint, feature string, w double")
+    assert agglomerative.average_linkage(df, df.select("doc_id")).count() == 0
+
+
 def _plain_kmeans(m, ids, rounds):
     c, labels = m[ids].copy(), None
     for _ in range(rounds):
