@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from lexigrain import sums
 from lexigrain.functions import ngrams as N
 from lexigrain.functions import text as X
 from lexigrain.operators import agglomerative, allpairs, classify, graph, leader, metrics, minibatch, packed, report, similarity, spherical, tfidf
@@ -379,3 +380,23 @@ def test_ngrams_of_generated_topics_do_not_depend_on_partitions(spark):
     assert a == b and len(a) == 120
     assert corpora.template_tickets(spark, 7).count() == 7
     assert N.word_ngrams is not None
+
+
+def test_kmeans_passes_take_each_open_run_once(spark, monkeypatch):
+    p, _ = _vectors(spark, n=60)
+    want = spherical.spherical_kmeans(p, 4, n_init=5)
+    passes, summed = [], spherical.summed
+
+    def watched(df, add, size):
+        free = dict(zip(add.__code__.co_freevars, (c.cell_contents for c in add.__closure__)))
+        passes.append((len(free["sent"].value), size))
+        return summed(df, add, size)
+
+    monkeypatch.setattr(spherical, "summed", watched)
+    monkeypatch.setattr(spherical, "PASS", 2 * 4 * 6, raising=False)
+    monkeypatch.setattr(sums, "LARGE", 0, raising=False)
+    got = spherical.spherical_kmeans(p, 4, n_init=5)
+    assert max(size for _, size in passes) == 2 * (4 * 6 + 4 + 3)
+    assert max(n for n, size in passes if size > 2 * (4 + 1)) == 2 * 4
+    assert (got.score, got.sizes, got.iterations) == (want.score, want.sizes, want.iterations)
+    assert sorted(got.assignments.collect()) == sorted(want.assignments.collect())
