@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..scratch import sorted_merge
+
 MAX_MATRIX = 64_000_000  #: numbers in a matrix of centroids
 PRODUCTS = 100_000  #: products made at once; they keep to what a core caches
 
@@ -24,7 +26,7 @@ PRODUCTS = 100_000  #: products made at once; they keep to what a core caches
 def pack(vectors: DataFrame, documents: DataFrame, id_col: str = "doc_id", key: str = "feature_id", w: str = "w") -> DataFrame:
     """Packs ``id, feature_id, w`` rows; documents without features get empty arrays."""
     g = vectors.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(key).cast("int").alias("i"), F.col(w).cast("double").alias("v")))).alias("p"))
-    out = documents.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(g, id_col, "left")
+    out = documents.select(id_col).where(F.col(id_col).isNotNull()).distinct().join(sorted_merge(g), id_col, "left")
     empty = F.coalesce("p", F.array().cast("array<struct<i:int,v:double>>"))
     return out.select(F.col(id_col).cast("bigint").alias("id"), F.transform(empty, lambda x: x["i"]).alias("idx"), F.transform(empty, lambda x: x["v"]).alias("val"))
 

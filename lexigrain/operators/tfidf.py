@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..scratch import by_id
+from ..scratch import by_id, sorted_merge
 
 #: Beyond this many rows a vocabulary is joined by shuffle; up to it, it is small enough to broadcast.
 BROADCAST_VOCABULARY = 200_000
@@ -83,7 +83,7 @@ def tfidf(bags: DataFrame, vocab: DataFrame, id_col: str, tf: str = "share", nor
         bags = bags.withColumn("tf", 1.0 + F.log("tf"))
     elif tf != "raw":
         raise ValueError(f"unknown tf {tf!r}")
-    joined = bags.join(F.broadcast(vocab) if broadcast else vocab, "feature")
+    joined = bags.join(F.broadcast(vocab) if broadcast else sorted_merge(vocab), "feature")
     ids = ["feature_id"] if "feature_id" in vocab.columns else []
     out = joined.select(id_col, "feature", *ids, (F.col("tf") * F.col("idf")).alias("w"))
     return unit(out, id_col) if normalise else out

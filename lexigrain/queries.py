@@ -12,7 +12,7 @@ from .functions import ngrams as N
 from .functions import text as X
 from .operators import agglomerative, classify, graph, leader, metrics, minibatch, packed, records, report, similarity, spherical, tfidf
 from .plans import pipelines
-from .scratch import materialise, new_path
+from .scratch import materialise, new_path, sorted_merge
 from .sources import corpora, csvfiles
 from .streaming.classify import predict_stream
 
@@ -297,7 +297,7 @@ def tfidf_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _topics(spark, sf_dir)
     bags = tfidf.bag(t.select("doc_id", X.letter_tokens("text").alias("tok")), "doc_id", N.mixed_ngrams(N.token_char_ngrams(_C("tok")), _C("tok")))
     v = tfidf.tfidf(bags, tfidf.vocabulary(bags, t.count()), "doc_id", "raw", normalise=True)
-    return t.select("doc_id").join(v.select("doc_id", "feature", F.round("w", 6).alias("w")), "doc_id", "left")
+    return t.select("doc_id").join(sorted_merge(v.select("doc_id", "feature", F.round("w", 6).alias("w"))), "doc_id", "left")
 
 
 @query("labels_distinct", "SELECT DISTINCT label FROM topics12 WHERE label IS NOT NULL")

@@ -92,3 +92,9 @@ def test_agglomerative_topics_covers_the_table(spark):
     got = Q.QUERIES["agglomerative_topics"](spark, DIR).collect()
     ids = {r["doc_id"] for r in spark.read.parquet(f"{DIR}/topics12.parquet").where("doc_id IS NOT NULL").collect()}
     assert {r["doc_id"] for r in got} == ids and len(got) == len(ids)
+
+
+def test_tfidf_mixed_broadcasts_no_grams(spark):
+    """Spark takes exploded grams for as large as their texts, so it would send them through the driver."""
+    plan = Q.QUERIES["tfidf_mixed"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Broadcast" not in plan
