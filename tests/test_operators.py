@@ -400,3 +400,26 @@ def test_kmeans_passes_take_each_open_run_once(spark, monkeypatch):
     assert max(n for n, size in passes if size > 2 * (4 + 1)) == 2 * 4
     assert (got.score, got.sizes, got.iterations) == (want.score, want.sizes, want.iterations)
     assert sorted(got.assignments.collect()) == sorted(want.assignments.collect())
+
+
+@pytest.mark.parametrize("held, iterations", [(-1, 100), (0, 100), (10**9, 2), (-1, 1)])
+def test_kmeans_runs_in_a_task_each_are_those_in_passes(spark, monkeypatch, held, iterations):
+    """With copies, rows of zeros and more clusters than directions, so that clusters are empty and repaired."""
+    from lexigrain.operators import wholeruns
+
+    rng = np.random.default_rng(3)
+    m = np.repeat(rng.random((40, 30)) * (rng.random((40, 30)) < 0.3), 2, axis=0)
+    m[7] = 0
+    for rows, k in ((m, 5), (m[:12], 9)):
+        p = spark.createDataFrame([(100 - i, [int(j) for j in np.flatnonzero(x)], [float(v) for v in x[x != 0]]) for i, x in enumerate(rows)], "id bigint, idx array<int>, val array<double>").repartition(3, "id")
+        monkeypatch.setattr(wholeruns, "SENT", 10**9)
+        want = spherical.spherical_kmeans(p, k, iterations, n_init=6)
+        monkeypatch.setattr(wholeruns, "SENT", 0)
+        monkeypatch.setattr(wholeruns, "HELD", abs(held))
+        monkeypatch.setattr(wholeruns, "MAPPED", held < 0)
+        with monkeypatch.context() as c:
+            c.setattr(spherical, "summed", None)  # no passes
+            got = spherical.spherical_kmeans(p, k, iterations, n_init=6)
+        assert (got.score, got.sizes, got.iterations) == (want.score, want.sizes, want.iterations)
+        assert sorted(got.assignments.collect()) == sorted(want.assignments.collect())
+        assert {(r[0], r[1]): round(r[2], 9) for r in got.centroids.collect()} == {(r[0], r[1]): round(r[2], 9) for r in want.centroids.collect()}
